@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, substring_dedup, url_filter
+from . import mixing, quality_crf, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.balance(_table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -33,6 +37,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_crf": op1_quality_crf,
     "op4_mixing": op4_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
