@@ -176,14 +176,12 @@ def viterbi(emission: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> np.nda
         back[here, 0], back[here, 1] = to0[:, 1] > to0[:, 0], to1[:, 1] > to1[:, 0]
         best[:m, 0], best[:m, 1] = to0.max(axis=1), to1.max(axis=1) + emission[here]
     label = best[:, 1] > best[:, 0]
-    size = np.diff(rows)[order]
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         here = first[:m] + t
         out[here] = label[:m]
         if t:
             label[:m] = np.where(label[:m], back[here, 1], back[here, 0])
-    del size
     return out
 
 

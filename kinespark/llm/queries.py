@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality_crf, sharding, substring_dedup, url_filter
+from . import language_id, mixing, order_minhash, quality_crf, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is the canonical URLs of every page whose id is divisible by 20."""
     pages = _table(spark, sf_dir, "pages")
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op4_mixing": op4_mixing,
+    "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
