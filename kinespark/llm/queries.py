@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, order_minhash, quality_crf, sharding, substring_dedup, url_filter
+from . import language_id, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.balance(_table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -46,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_mixing": op4_mixing,
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
