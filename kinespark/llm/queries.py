@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
+from . import avi_mjpeg, language_id, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_mjpeg.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_mixing": op4_mixing,
+    "op5_avi_mjpeg": op5_avi_mjpeg,
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
