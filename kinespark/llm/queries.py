@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi_mjpeg, language_id, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
+from . import avi_mjpeg, language_id, license_scan, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "license", "containment")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.balance(_table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -55,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_avi_mjpeg": op5_avi_mjpeg,
     "op6_order_minhash": op6_order_minhash,
@@ -65,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }
