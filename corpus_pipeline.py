@@ -1,27 +1,66 @@
-"""Corpus pipeline: quality rules, near-dedup, substring dedup, mixing, encoding."""
+"""Corpus pipeline over ``documents``: quality rules, near-dedup, substring dedup, mixing, encoding.
+
+Each stage works on all that its predecessor kept, written as Parquet and read again, and all
+but the last return the columns of ``documents``:
+
+1. quality rules drop documents that the base rules or the line CRF reject;
+2. near-dedup keeps one document of each class of equal or near-equal texts;
+3. substring dedup takes repeated passages of 35 words or more out of the texts;
+4. mixing repeats or drops documents so that sources meet their target weights;
+5. encoding gives doc_id, n_pieces, ids and round_trip.
+
+Rows keep their null columns throughout; a null or empty text is rejected by the first stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinespark.llm import mixing, order_minhash, quality_crf, sentencepiece_codec, substring_dedup
+from kinespark.llm.workspace import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_crf.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return order_minhash.one_of_each(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts lose repeated passages; ``n_chars`` follows the text."""
+    left = substring_dedup.without_repeats(docs)
+    kind = docs.schema["n_chars"].dataType
+    return left.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
+
 
-from kinespark.llm import substring_dedup
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document occurs as many times as the mix takes it."""
+    return mixing.mixed(docs)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(docs)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("substring dedup", remove_repeats),
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding", encode),
 ]
 
+#: No SQL can express training, alignment or Viterbi; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
