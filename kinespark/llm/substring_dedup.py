@@ -111,7 +111,7 @@ def _shared(table: pa.Table) -> pa.Table:
     place = place[twice]
     first = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)
     rows = row[first]
-    ends = np.r_[first[1:], len(row)]
+    ends = np.r_[first[1:], len(row)] if len(row) else first
     return pa.table({
         "k1": pa.array(_column(table, "k1", np.int64)[rows], pa.int64()),
         "k2": pa.array(_column(table, "k2", np.int64)[rows], pa.int64()),
