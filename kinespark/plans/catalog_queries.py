@@ -1,10 +1,406 @@
-"""Registered queries over the driver's tables, and their DuckDB equivalents."""
+"""Registered queries over the driver's tables, and their DuckDB equivalents.
+
+The tables stand in for robot data: a user of ``events`` is an episode and each event a
+frame on its clock, a conversation is an episode of turns, an embedding holds 48 state
+numbers and 16 of a camera, ``pages`` and ``documents`` stand for file listings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions.columns import finite, gather, last, list_join, parent_dir, stem, with_suffix
+from ..functions.sampling import sample_indexes
+from ..operators import metrics, segments
+from ..operators.hands import register_method, track_hands
+from ..operators.matching import match_hands
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- frames on a clock -----------------------------------------------------------------
+
+
+def _micros() -> Column:
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_id, t (seconds), value."""
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", (_micros() / F.lit(1e6)).alias("t"), "value")
+
+
+def _episodes(frames: DataFrame) -> DataFrame:
+    """user_id, length, from_ts, to_ts: the middle half of each user's time."""
+    bounds = frames.groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    half = bounds.select("user_id", (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.25).alias("from_ts"), (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.75).alias("to_ts"))
+    inside = frames.join(half, "user_id").where((F.col("t") >= F.col("from_ts") - segments.SLACK) & (F.col("t") < F.col("to_ts") - segments.SLACK))
+    return inside.groupBy("user_id", "from_ts", "to_ts").agg(F.count("*").alias("length"))
+
+
+_FRAMES_SQL = """f AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value FROM events),
+b AS (SELECT user_id, min(t) + (max(t) - min(t)) * 0.25 AS from_ts, min(t) + (max(t) - min(t)) * 0.75 AS to_ts FROM f GROUP BY user_id),
+s AS (SELECT f.user_id, event_id, t, value, row_number() OVER (PARTITION BY f.user_id ORDER BY t) - 1 AS index
+      FROM f JOIN b USING (user_id) WHERE t >= from_ts - 1e-6 AND t < to_ts - 1e-6)"""
+
+
+def _sample_sql(n: str, m: int) -> str:
+    spread = f"list_distinct(list_transform(range(0, {m}), lambda i: round_even(i * ({n} - 1) / {max(1, m - 1)}.0, 0)::BIGINT))"
+    return f"CASE WHEN {n} <= {m} THEN range(0, {n}) ELSE {spread if m > 1 else f'[{n} - 1]'} END"
+
+
+def _sampled_lengths(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
+    lengths = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return lengths.select("conv_id", "n", F.explode(sample_indexes("n", m)).alias("index"))
+
+
+def _sampled_sql(m: int) -> str:
+    return f"SELECT conv_id, n, unnest({_sample_sql('n', m)}) AS index FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+@query(f"SELECT user_id, n, unnest({_sample_sql('n', 8)}) AS index FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def sample_indexes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return lengths.select("user_id", "n", F.explode(sample_indexes("n", 8)).alias("index"))
+
+
+@query(_sampled_sql(8))
+def sample_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled_lengths(spark, sf_dir, 8)
+
+
+@query(_sampled_sql(1))
+def sample_max1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled_lengths(spark, sf_dir, 1)
+
+
+@query(_sampled_sql(3))
+def sample_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled_lengths(spark, sf_dir, 3)
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT user_id, event_id, index, round(t, 3) AS timestamp_s FROM s")
+def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    got = segments.segment_frames(f, _episodes(f), key="user_id", time="t", from_ts="from_ts", to_ts="to_ts")
+    return got.select("user_id", "event_id", "index", F.round("timestamp_s", 3).alias("timestamp_s"))
+
+
+@query(
+    f"WITH {_FRAMES_SQL}, l AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id), w AS (SELECT user_id, unnest({_sample_sql('n', 8)}) AS index FROM l) "
+    "SELECT s.user_id, s.event_id, s.index, round(s.t, 3) AS timestamp_s FROM s JOIN w ON s.user_id = w.user_id AND s.index = w.index"
+)
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    got = segments.sampled_frames(f, _episodes(f), key="user_id", time="t", from_ts="from_ts", to_ts="to_ts", length="length")
+    return got.select("user_id", "event_id", "index", F.round("timestamp_s", 3).alias("timestamp_s"))
+
+
+def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id and a rewards struct: values of the user's events in order of time."""
+    frames = _frames(spark, sf_dir).withColumn("index", F.row_number().over(W.partitionBy("user_id").orderBy("t", "event_id")) - 1)
+    rows = frames.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("index", "t", "value"))).alias("x"))
+    of = lambda f: F.transform("x", f)
+    return rows.select("user_id", F.struct(of(lambda r: r["value"]).alias("reward_score"), of(lambda r: r["value"] / 100).alias("robometer_success"), of(lambda r: F.struct(r["index"].cast("long").alias("index"), r["t"].alias("timestamp_s"))).alias("reward_frames")).alias("rewards"))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS index, round(epoch_us(ts) / 1e6, 3) AS timestamp_s, value AS reward_score FROM events")
+def reward_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.reward_curve(_rewards(spark, sf_dir), keep=("user_id",)).withColumn("timestamp_s", F.round("timestamp_s", 3))
+
+
+@query("SELECT user_id, round(success, 6) AS success FROM (SELECT user_id, last(value / 100 ORDER BY ts, event_id) AS success FROM events GROUP BY user_id) WHERE success < 0.5")
+def quality_gate_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.doubtful(_rewards(spark, sf_dir)).select("user_id", F.round(last(F.col("rewards.robometer_success")), 6).alias("success"))
+
+
+@query("SELECT conv_id, string_agg(role, '; ' ORDER BY turn) AS task FROM conversations GROUP BY conv_id")
+def task_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
+    return tasks.select("conv_id", list_join(F.col("x.role")).alias("task"))
+
+
+# -- listings and predicates -----------------------------------------------------------
+
+
+@query("SELECT page_id, string_split(url, '/')[-2] AS task, string_split(string_split(url, '/')[-1], '.')[1] AS name FROM pages")
+def url_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", parent_dir("url").alias("task"), stem("url").alias("name"))
+
+
+@query("SELECT page_id, TRY_CAST(regexp_extract(string_split(string_split(url, '/')[-1], '.')[1], '^[0-9]+$') AS BIGINT) AS episode_id FROM pages")
+def episode_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.regexp_extract(stem("url"), "^[0-9]+$", 0)
+    return _table(spark, sf_dir, "pages").select("page_id", name.try_cast("long").alias("episode_id"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '\.html$', '.mp4') AS video FROM pages")
+def sibling_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", with_suffix("url", ".html", ".mp4").alias("video"))
+
+
+_LABELLED_SQL = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query(f"SELECT d.doc_id, l.doc_id AS sibling, quality FROM {_LABELLED_SQL}")
+def sibling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sibling"), "quality")
+    return docs.join(labels, docs.doc_id == labels.sibling, "left")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
+def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where(F.col("lang").isin(["de", "fr"])).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2')")
+def filter_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where(F.col("lang").isin(["de", "fr"])).where(F.col("source").isin(["src1", "src2"])).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE false")
+def filter_empty_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where(F.col("lang").isin([])).select("doc_id", "lang")
+
+
+@query(f"SELECT d.doc_id, quality FROM {_LABELLED_SQL} WHERE quality IS NOT NULL")
+def not_null_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).where(F.col("quality").isNotNull()).select("doc_id", "quality")
+
+
+@query(f"SELECT d.doc_id, CASE WHEN quality = 1 THEN source END AS kept_source FROM {_LABELLED_SQL}")
+def when_otherwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("doc_id", F.when(F.col("quality") == 1, F.col("source")).otherwise(F.lit(None)).alias("kept_source"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25)")
+def topk_then_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    return top.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("doubled"))
+
+
+# -- hands -----------------------------------------------------------------------------
+
+_SIX_SQL = "list_transform([0, 4, 8, 12, 16, 20], lambda k: [v[2 * k + 1], v[2 * k + 2]])"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+_V_SQL = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _hand3(v: Column, side: int) -> Column:
+    """Wrist and fingertips of a side, from numbers 24 * side on: three for the wrist, six unused, fifteen for the tips."""
+    return F.transform(F.array(*(F.lit(24 * side + k) for k in (1, 10, 13, 16, 19, 22))), lambda i: F.slice(v, i, 3))
+
+
+@query(f"WITH {_V_SQL} SELECT vec_id, k, round(v[2 * k + 1], 5) AS x, round(v[2 * k + 2], 5) AS y FROM v, (SELECT unnest([0, 4, 8, 12, 16, 20]) AS k)")
+def keypoint_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.slice("v", k * 2 + 1, 2))
+    six = gather(points, G.WRIST_AND_TIPS)
+    rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode(six).alias("p", "xy"))
+    return rows.select("vec_id", (F.col("p") * 4).alias("k"), F.round(F.col("xy")[0], 5).alias("x"), F.round(F.col("xy")[1], 5).alias("y"))
+
+
+def _norm_sql(side: int, name: str) -> str:
+    """CTEs name_p (vec_id, k, x, y, z) and name (the same, normalised)."""
+    firsts = ", ".join(f"({k}, {24 * side + s})" for k, s in enumerate((1, 10, 13, 16, 19, 22)))
+    return (
+        f"{name}_p AS (SELECT vec_id, k, v[s] - v[{24 * side + 1}] AS x, v[s + 1] - v[{24 * side + 2}] AS y, v[s + 2] - v[{24 * side + 3}] AS z FROM v, (VALUES {firsts}) AS t(k, s)),\n"
+        f"{name}_r AS (SELECT vec_id, avg(sqrt(x * x + y * y + z * z)) + 1e-9 AS r FROM {name}_p WHERE k > 0 GROUP BY vec_id),\n"
+        f"{name} AS (SELECT vec_id, k, x / r AS x, y / r AS y, z / r AS z FROM {name}_p JOIN {name}_r USING (vec_id))"
+    )
+
+
+@query(f"WITH {_V_SQL}, {_norm_sql(0, 'g')} SELECT vec_id, k, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM g")
+def hand_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode(G.normalise_column(_hand3(F.col("v"), 0))).alias("k", "p"))
+    return rows.select("vec_id", "k", *(F.round(F.col("p")[i], 5).alias(n) for i, n in enumerate("xyz")))
+
+
+_PERMUTED_SQL = """q AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d, e.k AS e FROM range(1, 6) a(k), range(1, 6) b(k), range(1, 6) c(k), range(1, 6) d(k), range(1, 6) e(k)
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5)"""
+
+
+@query(
+    f"""WITH {_V_SQL}, {_norm_sql(0, 'g')}, {_norm_sql(1, 'm')},
+d AS (SELECT g.vec_id, g.k AS i, m.k AS j, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) AS d FROM g JOIN m USING (vec_id) WHERE g.k > 0 AND m.k > 0),
+w AS (SELECT vec_id, map(list(i * 10 + j), list(d)) AS d FROM d GROUP BY vec_id), {_PERMUTED_SQL.replace("AS d,", "AS dd,")}
+SELECT vec_id, round(min(w.d[10 + a] + w.d[20 + b] + w.d[30 + c] + w.d[40 + q.dd] + w.d[50 + e]) / 6, 5) AS pair_error FROM w, q GROUP BY vec_id"""
+)
+def pair_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean error between the left and the right hand of each state, fingertips assigned at least cost."""
+
+    @F.arrow_udf("double")
+    def error(v: pa.Array) -> pa.Array:
+        state = np.array(v.to_pylist(), dtype=float).reshape(len(v), -1)
+        return pa.array(G.tip_errors(G.hand_points(state, 0), G.hand_points(state, 1)).mean(axis=1))
+
+    return _vectors(spark, sf_dir).select("vec_id", F.round(error("v"), 5).alias("pair_error"))
+
+
+def _plan_hands(v: Column) -> Column:
+    """One predicted hand, or two: 21 points in pixels from the numbers of a vector."""
+
+    def one(start: int, label: str) -> Column:
+        points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.transform(F.slice(v, k * 2 + start, 2), lambda x: (x * 100).cast("float")))
+        return F.struct(F.lit(label).alias("handedness"), F.lit(1.0).cast("float").alias("confidence"), points.alias("kp2d"), F.lit(None).cast("array<array<float>>").alias("kp3d"))
+
+    return F.array(one(1, "left"), one(3, "right"))
+
+
+def _camera() -> Column:
+    """A camera 5 units behind the origin that looks along z."""
+    return F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, -5, 0, 0, 0, 1)))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", "label", match_hands(_plan_hands(F.col("v")), F.slice("v", 1, 48), _camera()).alias("score"))
+
+
+def _match_sql() -> str:
+    """CTEs up to c (vec_id, side, pred, errors as a list of 6, cost) and best (the chosen pairing)."""
+    firsts = lambda side: ", ".join(f"({k}, {24 * side + s})" for k, s in enumerate((1, 10, 13, 16, 19, 22)))
+    truth = lambda side: f"SELECT vec_id, {side} AS side, k, 736.6339 * v[s] / (v[s + 2] + 5) + 960.0 AS x, 736.6339 * v[s + 1] / (v[s + 2] + 5) + 540.0 AS y, v[s + 2] + 5 AS z FROM v, (VALUES {firsts(side)}) AS t(k, s)"
+    guess = lambda p: f"SELECT vec_id, {p} AS pred, n AS k, ((v[8 * n + {1 + 2 * p}] * 100)::FLOAT)::DOUBLE AS x, ((v[8 * n + {2 + 2 * p}] * 100)::FLOAT)::DOUBLE AS y FROM v, range(0, 6) AS t(n)"
+    norm = lambda name, part: (
+        f"{name}_m AS (SELECT p.vec_id, p.{part}, p.k, p.x - o.x AS x, p.y - o.y AS y FROM {name}_p p JOIN {name}_p o ON p.vec_id = o.vec_id AND p.{part} = o.{part} AND o.k = 0),\n"
+        f"{name} AS (SELECT m.vec_id, m.{part}, k, x / r AS x, y / r AS y FROM {name}_m m JOIN (SELECT vec_id, {part}, avg(sqrt(x * x + y * y)) + 1e-9 AS r FROM {name}_m WHERE k > 0 GROUP BY vec_id, {part}) s ON m.vec_id = s.vec_id AND m.{part} = s.{part})"
+    )
+    return f"""{_V_SQL},
+g_a AS ({truth(0)} UNION ALL {truth(1)}),
+g_p AS (SELECT * FROM g_a WHERE (vec_id, side) NOT IN (SELECT vec_id, side FROM g_a WHERE z <= 0)),
+m_p AS ({guess(0)} UNION ALL {guess(1)}),
+{norm('g', 'side')},
+{norm('m', 'pred')},
+d AS (SELECT g.vec_id, g.side, m.pred, g.k AS i, m.k AS j, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2) AS d FROM g JOIN m USING (vec_id) WHERE g.k > 0 AND m.k > 0),
+w AS (SELECT vec_id, side, pred, map(list(i * 10 + j), list(d)) AS d FROM d GROUP BY vec_id, side, pred),
+{_PERMUTED_SQL.replace("AS d,", "AS dd,")},
+o AS (SELECT vec_id, side, pred, [0.0, w.d[10 + a], w.d[20 + b], w.d[30 + c], w.d[40 + q.dd], w.d[50 + e]] AS errs FROM w, q),
+c AS (SELECT vec_id, side, pred, arg_min(errs, list_sum(errs)) AS errs, min(list_sum(errs)) / 6 AS cost FROM o GROUP BY vec_id, side, pred),
+n AS (SELECT vec_id, count(DISTINCT side) AS n_gt FROM g GROUP BY vec_id),
+pairing AS (
+  SELECT n.vec_id, n_gt, x.side AS s1, x.pred AS p1, y.side AS s2, y.pred AS p2, x.cost + coalesce(y.cost, 0) AS cost
+  FROM n JOIN c x ON n.vec_id = x.vec_id LEFT JOIN c y ON n_gt = 2 AND y.vec_id = n.vec_id AND x.side = 0 AND y.side = 1 AND y.pred <> x.pred
+  WHERE n_gt = 1 OR y.vec_id IS NOT NULL),
+best AS (SELECT vec_id, arg_min(pairing, cost) AS p, min(cost) AS cost FROM pairing GROUP BY vec_id)"""
+
+
+@query(
+    f"WITH {_match_sql()} SELECT v.vec_id, coalesce(n_gt, 0)::BIGINT AS n_gt, coalesce(n_gt, 0)::BIGINT AS n_matched, round(cost / n_gt, 4) AS mean_cost "
+    "FROM v LEFT JOIN n USING (vec_id) LEFT JOIN best USING (vec_id)"
+)
+def hand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.aggregate(F.flatten("score.errs"), F.lit(0.0), lambda a, x: a + x) / F.size(F.flatten("score.errs"))
+    return _matches(spark, sf_dir).select("vec_id", "score.n_gt", "score.n_matched", F.round(F.when(F.col("score.n_matched") > 0, mean), 4).alias("mean_cost"))
+
+
+@query(
+    f"""WITH {_match_sql()},
+h AS (SELECT b.vec_id, c.errs FROM best b JOIN c ON c.vec_id = b.vec_id AND ((c.side = b.p.s1 AND c.pred = b.p.p1) OR (b.p.s2 IS NOT NULL AND c.side = b.p.s2 AND c.pred = b.p.p2))),
+e AS (SELECT vec_id, unnest(errs) AS e FROM h),
+a AS (SELECT label, sum(n_gt) AS gt FROM v JOIN n USING (vec_id) GROUP BY label),
+k AS (SELECT label, avg(list_sum(errs) / 6) AS mean_err, count(*) AS hands FROM v JOIN h USING (vec_id) GROUP BY label),
+p AS (SELECT label, 100.0 * avg((e < 0.1)::INT) AS p1, 100.0 * avg((e < 0.2)::INT) AS p2, 100.0 * avg((e < 0.3)::INT) AS p3 FROM v JOIN e USING (vec_id) GROUP BY label)
+SELECT label, gt::BIGINT AS n_gt, hands::BIGINT AS n_matched, round(100.0 * hands / gt, 4) AS detect, round(mean_err, 4) AS mean_err, round(p1, 4) AS pck_0_1, round(p2, 4) AS pck_0_2, round(p3, 4) AS pck_0_3
+FROM a JOIN k USING (label) JOIN p USING (label)"""
+)
+def detect_pck_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.report(_matches(spark, sf_dir))
+    return got.select("label", "n_gt", "n_matched", *(F.round(c, 4).alias(c) for c in ("detect", "mean_err", "pck_0_1", "pck_0_2", "pck_0_3")))
+
+
+@query(
+    "WITH m AS (SELECT unnest(['first', 'second']) AS label) "
+    "SELECT m.label, count(*)::BIGINT AS frames FROM m, embeddings GROUP BY m.label"
+)
+def methods_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _matches(spark, sf_dir).select("score")
+    return metrics.by_method(frames, {"first": "score", "second": "score"}).groupBy("label").agg(F.count("*").alias("frames"))
+
+
+@query(f"WITH {_V_SQL} SELECT vec_id, CASE WHEN v[3] + 1 > 0 THEN round(v[1] / (v[3] + 1) * 736.6339 + 960.0, 3) END AS u, CASE WHEN v[3] + 1 > 0 THEN round(v[2] / (v[3] + 1) * 736.6339 + 540.0, 3) END AS v FROM v")
+def pinhole_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uv = G.pinhole_columns(F.col("v")[0], F.col("v")[1], F.col("v")[2] + 1)
+    return _vectors(spark, sf_dir).select("vec_id", *(F.round(c, 3).alias(n) for n, c in uv.items()))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, round((l_extendedprice - 1920.0 / 2) * 2 / (l_quantity * (l_tax + 1) + 1e-9) + l_discount, 4) AS tx, "
+    "round((l_extendedprice - 1080.0 / 2) * 2 / (l_quantity * (l_tax + 1) + 1e-9) + l_tax, 4) AS ty, round(37500.0 * 2 / (l_quantity * (l_tax + 1) + 1e-9), 4) AS tz FROM lineitem"
+)
+def cam_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    t = G.full_image_camera_columns(c("l_tax") + 1, c("l_discount"), c("l_tax"), c("l_extendedprice"), c("l_extendedprice"), c("l_quantity"), F.lit(1920.0), F.lit(1080.0), F.lit(37500.0))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(x, 4).alias(n) for n, x in t.items()))
+
+
+@query(f"WITH {_V_SQL} SELECT vec_id, round((2 * (label % 2) - 1) * v[1], 5) AS x, round(v[2], 5) AS y FROM v")
+def mirror_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = F.col("label") % 2
+    return _vectors(spark, sf_dir).select("vec_id", F.round((right * 2 - 1) * F.col("v")[0], 5).alias("x"), F.round(F.col("v")[1], 5).alias("y"))
+
+
+@query(f"WITH {_V_SQL} SELECT vec_id, list_count(v) = len(v) AS finite FROM v")
+def finite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", finite("v").alias("finite"))
+
+
+class MeanHand:
+    """A tracker without a model: one hand whose points step right from the image's mean grey, for tests and plans."""
+
+    def __call__(self) -> MeanHand:
+        return self
+
+    def track(self, frames: list) -> list[list[dict]]:
+        return [[] if f is None else [{"handedness": "right", "confidence": 1.0, "kp2d": [[float(f.mean()) + k, float(f.shape[0])] for k in range(21)], "kp3d": None}] for f in frames]
+
+    def __hash__(self) -> int:
+        return hash(MeanHand)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, MeanHand)
+
+
+register_method("mean", MeanHand)
+
+
+@query("SELECT doc_id, count(*)::BIGINT AS hands, round(avg(strlen(text)), 3) AS y FROM documents WHERE text <> '' GROUP BY doc_id")
+def track_hands_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a picture one pixel wide, through the tracking operator with a model-free method."""
+    docs = _table(spark, sf_dir, "documents").where("text <> ''")
+    height = F.octet_length("text")
+    grey = F.concat(*(F.col("text") for _ in range(3))).cast("binary")
+    image = F.struct(height.alias("height"), F.lit(1).alias("width"), F.lit(3).alias("nChannels"), F.lit("RGB").alias("mode"), grey.alias("data"))
+    tracked = docs.select("doc_id", track_hands(image, method="mean").alias("hands"))
+    return tracked.groupBy("doc_id").agg(F.sum(F.size("hands")).cast("long").alias("hands"), F.round(F.avg(F.col("hands")[0]["kp2d"][0][1]), 3).alias("y"))
