@@ -1,0 +1,276 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinespark.functions import geometry as G
+from kinespark.functions.columns import file_uri, finite, last, list_join, named, stem
+from kinespark.functions.sampling import sample_indexes, sampled
+from kinespark.operators import hands as H
+from kinespark.operators import metrics, segments
+from kinespark.operators.matching import assignment, match_batch, match_hands
+from kinespark.operators.rewards import build_request, parse_response, score_rewards
+from kinespark.plans.catalog_queries import MeanHand  # noqa: F401  (registers the method)
+from kinespark.sources import schemas as S
+from kinespark.sources.readers import NpzDecoder
+from kinespark.streaming import stateless
+
+
+# -- columns and sampling
+
+
+def test_sampling_agrees_with_python_and_its_vectors(spark):
+    assert sampled(5) == [0, 1, 2, 3, 4] and sampled(100, 1) == [99] and sampled(0) == [] and sampled(10, 3) == [0, 4, 9]
+    many = sampled(100)
+    assert len(many) == 8 and many[0] == 0 and many[-1] == 99 and sampled(5, 0) == []
+    lengths = [None, -3, *range(70)]
+    df = spark.createDataFrame([(n,) for n in lengths], "n long")
+    for m in (0, 1, 2, 3, 8, 16):
+        rows = df.select("n", sample_indexes("n", m).alias("x")).collect()
+        assert all(r.x == sampled(r.n or 0, m) for r in rows), m
+
+
+def test_column_helpers(spark):
+    df = spark.createDataFrame([(["a", None, "b"], [1.0, 2.0], "file:/x/t/12.a.b"), ([], [], "/y/t/7.c"), (None, None, None)], "`s.t` array<string>, d array<double>, p string")
+    rows = df.select(last("d").alias("l"), list_join("s.t").alias("j"), stem("p").alias("s"), file_uri("p").alias("u"), finite("d").alias("f"), named("s.t").alias("n")).collect()
+    assert [r.l for r in rows] == [2.0, None, None] and [r.j for r in rows] == ["a; b", "", None]
+    assert [r.s for r in rows] == ["12", "7", None] and [r.u for r in rows] == ["file:///x/t/12.a.b", "file:///y/t/7.c", None]
+    bad = spark.createDataFrame([([1.0, float("nan")],), ([float("inf")],), ([None],)], "d array<double>")
+    assert not any(r[0] for r in bad.select(finite("d")).collect())
+
+
+# -- geometry and matching
+
+
+def rng_hand(rng, n=21, d=2):
+    return rng.normal(size=(n, d)) * 50 + 300
+
+
+def test_tip_errors_are_least_cost():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(20, 6, 2)), rng.normal(size=(20, 6, 2))
+    got = G.tip_errors(a, b)
+    for g, x, y in zip(got, G.normalised(a), G.normalised(b)):
+        d = np.linalg.norm(x[1:, None] - y[None, 1:], axis=2)
+        assert g[0] == 0 and np.isclose(g.sum(), min(sum(d[i, p[i]] for i in range(5)) for p in permutations(range(5))))
+
+
+def test_projection_inverts_the_camera():
+    rng = np.random.default_rng(1)
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    camera = np.eye(4)
+    camera[:3, :3], camera[:3, 3] = q, rng.normal(size=3)
+    seen = np.array([[0.1, 0.2, 2.0], [0.0, 0.0, -1.0]])
+    world = seen @ q.T + camera[:3, 3]
+    uv = G.project_world(world, camera)
+    assert np.allclose(uv[0], [736.6339 * 0.05 + 960, 736.6339 * 0.1 + 540]) and np.isnan(uv[1]).all()
+
+
+def test_mesh_output_is_mirrored_and_projected():
+    right, cam = np.array([1.0, 0.0]), np.array([[1.0, 0.2, 0.1]] * 2)
+    points = np.array([[[0.1, 0.2, 0.3]]] * 2)
+    centre, size, image = np.array([[320.0, 240.0]] * 2), np.array([100.0, 100.0]), np.array([640.0, 480.0])
+    a, b = H.model_output_to_hands(right, np.array([0.9, 0.8]), cam, points, centre, size, image, 500.0)
+    assert a["handedness"] == "right" and b["handedness"] == "left" and np.isclose(b["kp3d"][0][0], -0.1)
+    assert np.isclose(a["kp2d"][0][0] - 320, -(b["kp2d"][0][0] - 320)) and np.isclose(a["kp2d"][0][1], b["kp2d"][0][1])
+    assert np.isclose(a["kp2d"][0][0], 320 + 500 * (0.1 + 0.2) / (0.3 + 1000 / (100 + 1e-9)))
+
+
+def truth_row(rng, behind=False):
+    """A state whose hands are in front of a camera at the origin, the camera, and both hands' pixels of 21 points."""
+    state = rng.normal(size=48) * 0.1
+    state[2:24:3] += 3
+    state[26:48:3] += -3 if behind else 3
+    hands = []
+    for side in (0, 1):
+        uv = G.project_world(G.hand_points(state, side)[None], np.eye(4)[None])[0]
+        kp = np.zeros((21, 2))
+        kp[list(G.WRIST_AND_TIPS)] = uv
+        hands.append({"handedness": "left", "confidence": 1.0, "kp2d": kp.tolist(), "kp3d": None})
+    return state.tolist(), np.eye(4).ravel().tolist(), hands
+
+
+def test_matching_cases():
+    rng = np.random.default_rng(2)
+    state, camera, (left, right) = truth_row(rng)
+    hidden, _, (seen, _) = truth_row(rng, behind=True)
+    got = match_batch([[right, left], [seen], None, [left], [right]], [state, hidden, state, None, state], [camera] * 5)
+    assert [(g["n_gt"], g["n_matched"]) for g in got] == [(2, 2), (1, 1), (2, 0), (0, 0), (2, 1)]
+    assert np.allclose(got[0]["errs"], 0, atol=1e-6) and len(got[4]["errs"]) == 1 and np.allclose(got[4]["errs"], 0, atol=1e-6)
+    cost = rng.random((2, 4))
+    best = min(permutations(range(4), 2), key=lambda p: cost[0, p[0]] + cost[1, p[1]])
+    assert assignment(cost) == [(0, best[0]), (1, best[1])] and assignment(cost.T[:2, :1]) == [(int(cost[0, :2].argmin()), 0)]
+
+
+def test_report_follows_its_definition(spark):
+    rows = [("a", (2, 2, [[0.0, 0.05, 0.3], [0.0, 0.2, 0.25]])), ("a", (1, 0, [])), ("b", (0, 0, [])), ("a", None)]
+    df = spark.createDataFrame(rows, f"label string, score {S.MATCH.simpleString()}")
+    a, b = metrics.report(df).sort("label").collect()
+    assert (a.n_gt, a.n_matched) == (3, 2) and np.isclose(a.detect, 200 / 3) and np.isclose(a.mean_err, (0.35 / 3 + 0.45 / 3) / 2)
+    assert np.allclose([a.pck_0_1, a.pck_0_2, a.pck_0_3], [50, 50, 500 / 6])
+    assert b.detect == 0 and np.isnan(b.mean_err) and b.pck_0_1 == 0
+
+
+# -- hands
+
+
+def test_methods_and_type_come_from_the_plan(spark):
+    df = spark.createDataFrame([], f"image {S.IMAGE.simpleString()}")
+    assert df.select(H.track_hands("image", method="mediapipe").alias("h")).schema["h"].dataType == S.HANDS
+    assert df.select(H.track_hands("image", method="wilor", mano_path="x").alias("h")).schema["h"].dataType == S.HANDS
+    with pytest.raises(ValueError, match="mano_path"):
+        H.track_hands("image", method="wilor")
+    with pytest.raises(ValueError, match="mediapipe.*wilor"):
+        H.track_hands("image", method="none")
+
+
+def test_tracking_null_images_dotted_names_and_round_trip(spark, tmp_path):
+    image = (2, 3, 3, "RGB", bytearray(range(18)))
+    df = spark.createDataFrame([(1, image), (2, None)], f"id int, `observation.image` {S.IMAGE.simpleString()}")
+    df.select("id", H.track_hands("observation.image", method="mean").alias("hands")).write.parquet(f"{tmp_path}/out")
+    one, two = spark.read.parquet(f"{tmp_path}/out").sort("id").collect()
+    assert len(one.hands[0].kp2d) == 21 and one.hands[0].kp2d[0] == [8.5, 2.0] and one.hands[0].kp3d is None and two.hands == []
+
+
+def test_landmarks():
+    class P:
+        def __init__(self, **k):
+            self.__dict__.update(k)
+
+    got = H.landmarks_to_hands([[P(x=0.5, y=0.25)], [P(x=1.0, y=1.0)]], [[P(category_name="Left", score=0.7)]], 100, 40)
+    assert [g["handedness"] for g in got] == ["left", "unknown"] and got[0]["kp2d"] == [[50.0, 10.0]] and got[1]["confidence"] == 0.0
+
+
+def test_assets_go_to_both_places(tmp_path):
+    for a in H.ASSETS:
+        (tmp_path / a).parent.mkdir(exist_ok=True)
+        (tmp_path / a).write_text("stub")
+    (tmp_path / "mine.pkl").write_text("hand")
+    assert H.place_assets(str(tmp_path), str(tmp_path / "mine.pkl")) == str(tmp_path)
+    assert (tmp_path / "mano_data/MANO_RIGHT.pkl").read_text() == (tmp_path / "pretrained_models/MANO_RIGHT.pkl").read_text() == "hand"
+    with pytest.raises(FileNotFoundError, match="detector"):
+        H.place_assets(str(tmp_path / "nowhere"), None)
+
+
+def test_model_cache(tmp_path, monkeypatch):
+    monkeypatch.setenv(H.CACHE_VARIABLE, str(tmp_path))
+    (tmp_path / "m.task").write_text("x")
+    assert H.cached_model(None, "http://nowhere.invalid/m.task") == str(tmp_path / "m.task") and H.cached_model("/given") == "/given"
+
+
+# -- rewards
+
+
+@pytest.fixture
+def server():
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, self.headers.get("X-Key"), body))
+            if self.headers.get("X-Key") == "bad":
+                self.send_error(500)
+                return
+            data = json.dumps({"outputs_progress": {"progress_pred": [[i / 7 for i in range(8)]]}, "outputs_success": {"success_probs": [[0.5] * 8]}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}/", seen
+    s.shutdown()
+
+
+@pytest.fixture
+def episode(spark, tmp_path):
+    with open(tmp_path / "v.mp4", "wb") as f:
+        np.savez(f, frames=np.stack([np.full((4, 4, 3), 10 * i, np.uint8) for i in range(10)]), seconds=np.arange(10) / 20)
+    return spark.createDataFrame([("pick up the mug", 10, 0.0, 0.5, f"{tmp_path}/v.mp4")], "task string, length long, from_ts double, to_ts double, video string")
+
+
+ARGS = ("task", "length", "from_ts", "to_ts", "video")
+
+
+def test_scores_from_a_server(episode, server):
+    url, seen = server
+    scored = episode.withColumn("rewards", score_rewards(*ARGS, url=url, headers={"X-Key": "secret"}, decoder=NpzDecoder()))
+    assert scored.schema["rewards"].dataType == S.REWARD and "secret" not in scored._jdf.queryExecution().toString()
+    r = scored.first().rewards
+    assert [f["index"] for f in r.reward_frames] == sampled(10) and r.reward_frames[0].timestamp_s == 0.0 and r.reward_frames[-1].timestamp_s == 0.45
+    path, key, body = seen[0]
+    assert path == "/evaluate_batch_npy" and key == "secret" and b"pick up the mug" in body and b"\x93NUMPY" in body
+    few = episode.select(score_rewards(*ARGS, url=url, max_frames=3, decoder=NpzDecoder()).alias("r")).first().r
+    assert [f["index"] for f in few.reward_frames] == [0, 4, 9]
+
+
+def test_gate_posts_once_per_row(episode, server):
+    url, seen = server
+    scored = episode.withColumn("rewards", score_rewards(*ARGS, url=url, decoder=NpzDecoder()))
+    assert segments.doubtful(scored, threshold=0.6).select("task", "rewards").count() == 1 and len(seen) == 1
+    assert segments.doubtful(scored).count() == 0
+    curve = segments.reward_curve(scored, keep=("task",)).collect()
+    assert [c["index"] for c in curve] == sampled(10) and curve[-1].reward_score == 1.0
+
+
+def test_failures_raise_or_become_null(episode, server):
+    url, _ = server
+    bad = lambda **k: episode.select(score_rewards(*ARGS, url=url, headers={"X-Key": "bad"}, decoder=NpzDecoder(), **k).alias("r"))
+    with pytest.raises(Exception, match="500"):
+        bad().collect()
+    assert bad(on_error="null").first().r is None
+    with pytest.raises(Exception, match="sampled frames"):
+        episode.withColumn("to_ts", F.lit(0.1)).select(score_rewards(*ARGS, url=url, decoder=NpzDecoder())).collect()
+
+
+def test_request_and_response():
+    npy, text = build_request(np.zeros((8, 4, 4, 3), np.uint8), "go")
+    told = json.loads(text)
+    assert npy[1:6] == b"NUMPY" and told["trajectory"]["frames_shape"] == [8, 4, 4, 3] and told["sample_type"] == "progress"
+    assert told["trajectory"]["metadata"] == {"subsequence_length": 8} and told["trajectory"]["lang_vector"] is None
+    assert parse_response({"outputs_progress": {"progress_pred": [[1.0]]}, "outputs_success": {"success_probs": [[0.2]]}}) == ([1.0], [0.2])
+
+
+# -- plans and streams
+
+
+def test_top_k_lies_below_the_kernel(spark):
+    df = spark.createDataFrame([], f"id long, image {S.IMAGE.simpleString()}").orderBy(F.desc("id")).limit(3).select(H.track_hands("image", method="mean"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("TakeOrderedAndProject")
+
+
+def test_streams_take_the_same_operators(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    state, camera, hands = truth_row(rng)
+    rows = [(f"2024-01-01 00:0{i}:10", 10 * i, hands, state, camera, ([0.1], [0.2 * i], [])) for i in range(4)]
+    batch = spark.createDataFrame(rows, f"t string, length long, hands {S.HANDS.simpleString()}, state array<double>, extrinsics array<double>, rewards {S.REWARD.simpleString()}").withColumn("t", F.to_timestamp("t"))
+    batch.write.parquet(f"{tmp_path}/in")
+    stream = stateless.episodes_stream(spark, f"{tmp_path}/in", batch.schema)
+
+    def run(df, mode="append"):
+        q = df.writeStream.format("memory").queryName("out").outputMode(mode).start()
+        q.processAllAvailable()
+        got = spark.table("out").collect()
+        q.stop()
+        return got
+
+    assert sorted(r.length for r in run(stateless.flagged(stream))) == [0, 10, 20]
+    assert {r.length: r.sample_indexes for r in run(stateless.with_samples(stream))}[30] == sampled(30)
+    windows = run(stateless.detection_rate(stateless.matched(stream), time="t"), "complete")
+    assert len(windows) == 4 and all(w.detect == 100 for w in windows)
+
+
+def test_matching_is_one_python_node(spark):
+    df = spark.createDataFrame([], f"hands {S.HANDS.simpleString()}, state array<double>, extrinsics array<double>")
+    plan = df.select(match_hands("hands", "state", "extrinsics").alias("m")).select("m.n_gt", "m.errs")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
