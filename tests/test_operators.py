@@ -244,7 +244,8 @@ def test_request_and_response():
 
 
 def test_top_k_lies_below_the_kernel(spark):
-    df = spark.createDataFrame([], f"id long, image {S.IMAGE.simpleString()}").orderBy(F.desc("id")).limit(3).select(H.track_hands("image", method="mean"))
+    image = F.lit(None).cast(S.IMAGE)
+    df = spark.range(100).select("id", F.when(F.col("id") < 0, image).alias("image")).orderBy(F.desc("id")).limit(3).select(H.track_hands("image", method="mean"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("TakeOrderedAndProject")
 
