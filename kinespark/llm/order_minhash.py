@@ -148,49 +148,109 @@ def least_alike(threshold: float) -> float:
     return max(0.0, j - 5 * (j * (1 - j) / LANES) ** 0.5)
 
 
-def _candidates(threshold: float):
-    """Pairs within runs of equal key; input is sorted by key, n, rep. Memory is a batch and the run at its end."""
-    alike = least_alike(threshold)
-
-    def pairs(key: np.ndarray, n: np.ndarray, rep: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        open_ = np.arange(len(key))
-        d = 1
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether lanes agree enough. Short texts fill few lanes and have wide errors: they aren't left out."""
+    used = np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+    return (((x == y) & (x > 0)).sum(axis=1) >= least * used) | (used < LANES // 2)
+
+
+def leader_pairs(key: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each item with the leader of its run: the first item, or the first that isn't too short for it to be alike."""
+    size = len(key)
+    leader = np.arange(size)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if size else leader
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if size else leader
+    ends = np.r_[starts[1:], size]
+    lead = starts.copy()
+    while len(lead):
+        # the run's items from here on that can be alike to the leader
+        head = np.full(len(starts), -1)
+        head[run[lead]] = lead
+        of = head[run]
+        mine = (of >= 0) & (np.arange(size) > of) & (n[of] >= threshold * n)
+        leader[mine] = of[mine]
+        after = np.where(mine, np.arange(size), -1)
+        last = lead + np.bincount(run[after >= 0], minlength=len(starts))[run[lead]] + 1
+        lead = last[last < ends[run[lead]]]
+    item = np.flatnonzero(leader != np.arange(size))
+    return leader[item], item
+
+
+def cross_pairs(key: np.ndarray, n: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a run whose roots differ and whose lengths can be alike, each once."""
+    size = len(key)
+    if not size:
+        return
+    new = np.r_[True, key[1:] != key[:-1]]
+    run = np.cumsum(new) - 1
+    # the most frequent root of each run; only items with another root look around
+    order = np.lexsort((root, run))
+    change = np.flatnonzero(np.r_[True, (run[order][1:] != run[order][:-1]) | (root[order][1:] != root[order][:-1])])
+    count = np.diff(np.r_[change, size])
+    top = np.full(run[-1] + 1, -1)
+    by = np.argsort(count, kind="stable")
+    top[run[order][change[by]]] = root[order][change[by]]
+    minor = root != top[run]
+    for way in (1, -1):
+        open_, d = np.flatnonzero(minor), 1
         while len(open_):
-            open_ = open_[open_ + d < len(key)]
-            open_ = open_[(key[open_] == key[open_ + d]) & (n[open_] >= threshold * n[open_ + d])]
-            if len(open_):
-                for i in range(0, len(open_), 50_000):
-                    o = open_[i : i + 50_000]
-                    x, y = lanes[o], lanes[o + d]
-                    used = np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
-                    # short texts fill few lanes and have wide errors: they aren't left out
-                    ok = (((x == y) & (x > 0)).sum(axis=1) >= alike * used) | (used < LANES // 2)
-                    out_a.append(rep[o[ok]])
-                    out_b.append(rep[o[ok] + d])
+            to = open_ + way * d
+            inside = (to >= 0) & (to < size)
+            open_, to = open_[inside], to[inside]
+            near = (key[open_] == key[to]) & (np.minimum(n[open_], n[to]) >= threshold * np.maximum(n[open_], n[to]))
+            open_, to = open_[near], to[near]
+            take = root[open_] != root[to]
+            if way < 0:
+                take &= ~minor[to]
+            if take.any():
+                yield open_[take], to[take]
             d += 1
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return np.minimum(a, b), np.maximum(a, b)
+
+
+def _candidates(threshold: float, rooted: bool):
+    """Pairs within runs of equal key; input is sorted by key, n, rep. Memory is a batch and the run at its end.
+
+    Without roots, each text with its run's leader; with roots, all pairs of different roots.
+    """
+    least = least_alike(threshold)
+    names = ["key", "n", "rep", *(["root"] if rooted else [])]
+
+    def emit(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, n, rep, *root, lanes = columns
+        found: list[np.ndarray] = []
+        held = 0
+        for i, j in cross_pairs(key, n, root[0], threshold) if rooted else [leader_pairs(key, n, threshold)]:
+            for k in range(0, len(i), 50_000):
+                x, y = i[k : k + 50_000], j[k : k + 50_000]
+                ok = _alike(lanes[x], lanes[y], least)
+                if ok.any():
+                    a, b = rep[x[ok]], rep[y[ok]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                    held += len(found[-1])
+            if held > 500_000:
+                yield batch_of(found)
+                found, held = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        both = both[both[:, 0] != both[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            got = [batch.column("key").to_numpy(), batch.column("n").to_numpy(), batch.column("rep").to_numpy(), np.frombuffer(at.utf8(batch.column("lanes"))[0], np.uint8).reshape(-1, LANES)]
+            got = [*(batch.column(c).to_numpy() for c in names), np.frombuffer(at.utf8(batch.column("lanes"))[0], np.uint8).reshape(-1, LANES)]
             if held is not None:
                 got = [np.concatenate([h, g]) for h, g in zip(held, got, strict=True)]
             if not len(got[0]):
                 continue
-            end = int(np.searchsorted(got[0], got[0][-1]))
+            end = int(np.flatnonzero(got[0] != got[0][-1])[-1]) + 1 if got[0][0] != got[0][-1] else 0
             held = [g[end:] for g in got]
-            yield from emit(*(g[:end] for g in got))
+            yield from emit([g[:end] for g in got])
         if held is not None:
-            yield from emit(*held)
-
-    def emit(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = pairs(*columns)
-        if len(a):
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield from emit(held)
 
     return run
 
@@ -247,11 +307,15 @@ def banded_distance(a: list, b: list, most: int) -> int:
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> int:
-    """Edit distance of two word sequences, or -1 if their similarity is below the threshold."""
+    """Cost of an alignment of two word sequences that is within the threshold, or -1 if there is none."""
     longer = max(len(x), len(y))
     most = int((1 - threshold) * longer + 1e-9)
     if abs(len(x) - len(y)) > most:
         return -1
+    if len(x) == len(y):  # the narrowest band, the diagonal, is enough for many
+        straight = int((x != y).sum())
+        if straight <= most:
+            return straight
     a, b = x.tolist(), y.tolist()
     common = sum((Counter(a) & Counter(b)).values())
     if longer - common > most:
@@ -308,7 +372,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Texts (t1, t2, rep: least id, copies) and links between different texts (a, b: reps, distance)."""
+    """Texts (t1, t2, rep: least id, copies) and links between different texts (a, b: reps, distance).
+
+    A group of near copies has as many alike pairs as its square, so not all are aligned. In the first round each text
+    meets the leader of each of its runs. The second takes every candidate pair that the first left in different
+    components: a pair within one is linked already, so the components are those of all candidate pairs.
+    """
     clear_of(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = _keyed(docs, id_col, text_col)
@@ -318,22 +387,33 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     spread = real.select("rep", "n", "keys").mapInArrow(_spread, "key long, rep long, n int")
     sizes = cut(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = spread.join(sizes, "key")
-    lanes = real.select("rep", "lanes")
     calm = shared.where(F.col("size") <= HOT).select("key", "rep", "n")
     hot = shared.where(F.col("size") > HOT).select("key", "rep", "n").join(real.select("rep", "keys"), "rep").mapInArrow(_spread_hot, "key long, rep long, n int")
-    runs = calm.unionByName(hot).join(lanes, "rep").select("key", "n", "rep", "lanes")
-    runs = runs.repartition("key").sortWithinPartitions("key", "n", "rep")
-    pairs = stored(runs.mapInArrow(_candidates(threshold), "a long, b long").distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    # one row per distinct text that has a candidate
-    mine = texts.select(F.col("rep").alias("id"), "t1", "t2").join(wanted, "id")
-    words = stored(keyed.join(mine, ["id", "t1", "t2"]).dropDuplicates(["id", "t1", "t2"]).select("id", "text"))
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(words.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return texts, cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_aligned(threshold), "a long, b long, distance int"))
+    runs = stored(calm.unionByName(hot))
+    lanes = real.select("rep", "lanes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        # one row per distinct text that has a candidate
+        mine = texts.select(F.col("rep").alias("id"), "t1", "t2").join(wanted, "id")
+        words = stored(keyed.join(mine, ["id", "t1", "t2"]).dropDuplicates(["id", "t1", "t2"]).select("id", "text"))
+        both = pairs.join(words.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(words.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_aligned(threshold), "a long, b long, distance int"))
+
+    def within(rows: DataFrame, rooted: bool) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_candidates(threshold, rooted), "a long, b long")
+
+    first = verified(within(runs.join(lanes, "rep").select("key", "n", "rep", "lanes"), False))
+    roots = components(first)
+    rooted = runs.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = rooted.join(mixed, "key").join(lanes, "rep").select("key", "n", "rep", "root", "lanes")
+    return texts, first.unionByName(verified(within(rest, True)))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, class_id (least id of the class), text_id (least id of equal texts), n_copies, n_links (of its text, to different texts)."""
+    """Per row: id, class_id (least id of the class), text_id (least id of equal texts), n_copies, n_links (aligned links of its text to different texts)."""
     texts, found = links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     ends = found.select(F.col("a").alias("rep")).unionAll(found.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = components(found).select(F.col("node").alias("rep"), "root")
