@@ -247,7 +247,8 @@ def test_top_k_lies_below_the_kernel(spark):
     image = F.lit(None).cast(S.IMAGE)
     df = spark.range(100).select("id", F.when(F.col("id") < 0, image).alias("image")).orderBy(F.desc("id")).limit(3).select(H.track_hands("image", method="mean"))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.index("TakeOrderedAndProject")
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "Limit" in below or "TakeOrdered" in below
 
 
 def test_streams_take_the_same_operators(spark, tmp_path):
