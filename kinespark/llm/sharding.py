@@ -2,8 +2,8 @@
 
 A group is the rows of equal text; its demand is a vector of bytes, words and rows.
 Groups go, largest first, to the shard where the dot product of their demand with the
-shard's residual capacity is highest. Placing every group one by one on the driver would
-not scale, so what is placed is bounded: groups over 1/64 of a shard in some dimension are
+shard's residual capacity is highest, among the shards that still hold its bytes. Placing
+every group one by one on the driver would not scale, so what is placed is bounded: groups over 1/64 of a shard in some dimension are
 placed by themselves (there can be no more than 3 * 64 * shards of them), all others ride
 in ``BUNDLES_A_SHARD * shards`` hash bundles of whole groups. A group above a quarter of a
 shard is split into pieces by row hash, as it can't be balanced otherwise.
@@ -35,13 +35,17 @@ _DIMS = ("bytes", "words", "rows")
 
 
 def place(demands: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item (rows of ``demands``): largest first, by dot product with residual capacity."""
+    """Shard of each item (rows of ``demands``, bytes first): largest first, by dot product with residual capacity.
+
+    Only shards whose residual bytes hold the item compete; if none does, it goes where most bytes are left.
+    """
     capacity = np.maximum(demands.sum(axis=0) / shards, 1e-9)
     need = demands / capacity
     residual = np.ones((shards, demands.shape[1]))
     out = np.zeros(len(demands), dtype=np.int32)
     for i in np.lexsort((np.arange(len(need)), -need.max(axis=1))) if len(need) else []:
-        s = int(np.argmax(residual @ need[i]))
+        fits = residual[:, 0] >= need[i, 0] - 1e-12
+        s = int(np.argmax(np.where(fits, residual @ need[i], -np.inf) if fits.any() else residual[:, 0]))
         residual[s] -= need[i]
         out[i] = s
     return out
