@@ -33,7 +33,7 @@ UNIT = 64
 FPS = 25
 BLOCK_FRAMES = 512
 BINS, LEVELS = 16, 4096
-LEAST_JUMP, JUMP, AROUND = 400, 2, 5  # of 2 * LEVELS; deviations; frames
+LEAST_JUMP, JUMP, AROUND = 400, 2, 3  # of 2 * LEVELS; deviations; frames
 _WIDTH = 8 * jpeg.SIDE
 
 
