@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 
 from . import demos
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: Sequence[str] | None = None) -> int:
     """Run a subcommand: 0 done, 1 a file is in the way, 2 wrong or missing answers. Without one, help is printed."""
     parser = argparse.ArgumentParser(prog="kinespark", description="Embodied-data processing on Spark.")
     commands = parser.add_subparsers(metavar="<command>")

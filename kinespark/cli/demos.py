@@ -13,6 +13,7 @@ from .notebooks import Cells
 
 METHODS = ("mediapipe", "wilor", "both")
 RUNTIMES = ("local", "cluster")
+FRAMES, EPISODES, SAMPLES = 12, 5, 8
 FORMS: dict[str, tuple[str, Callable[[Cells], str]]] = {"script": ("demo.py", notebooks.script), "notebook": ("demo.ipynb", notebooks.notebook), "markdown": ("demo.md", notebooks.walkthrough)}
 
 
@@ -26,12 +27,12 @@ def _at_least_one(**given: int) -> None:
 class HandsDemo:
     """Hand tracking over a frame dataset."""
 
-    method: str = "mediapipe"
-    runtime: str = "local"
+    method: str = METHODS[0]
+    runtime: str = RUNTIMES[0]
     mano_path: str | None = None
     dataset: str = "data/egocentric-sample"
     image_column: str = "observation.image"
-    limit: int = 12
+    limit: int = FRAMES
     with_eval: bool = False
 
     def validate(self) -> None:
@@ -42,7 +43,7 @@ class HandsDemo:
         if self.method != "mediapipe" and not self.mano_path:
             raise ValueError(f"method {self.method!r} needs mano_path")
         _at_least_one(limit=self.limit)
-        if self.with_eval and self.runtime != "local":
+        if self.runtime == "cluster" and self.with_eval:
             raise ValueError("with_eval goes with the local runtime only")
 
     def cells(self) -> Cells:
@@ -80,9 +81,9 @@ class RewardsDemo:
 
     dataset: str = "data/robot-episodes"
     split: str = "train"
+    episodes: int = EPISODES
+    max_frames: int = SAMPLES
     video_key: str = "observation.images.image"
-    episodes: int = 5
-    max_frames: int = 8
 
     def validate(self) -> None:
         _at_least_one(episodes=self.episodes, max_frames=self.max_frames)
@@ -103,7 +104,7 @@ class RewardsDemo:
                 True,
                 f"DATASET, SPLIT, VIDEO_KEY = {self.dataset!r}, {self.split!r}, {self.video_key!r}\nEPISODES, MAX_FRAMES = {self.episodes}, {self.max_frames}\n"
                 'of = lambda x: named(f"videos/{VIDEO_KEY}/{x}")\n'
-                'episodes = frame_datasets.read_episodes(spark, f"{DATASET}/{SPLIT}", include_video_metadata=True).sort("episode_index").limit(EPISODES)\n'
+                'episodes = frame_datasets.read_episodes(spark, "/".join([DATASET, SPLIT]), include_video_metadata=True).orderBy("episode_index").limit(EPISODES)\n'
                 'episodes = episodes.select("episode_index", list_join("tasks").alias("task"), "length", of("from_timestamp").alias("from_ts"), of("to_timestamp").alias("to_ts"), of("video").alias("video"))',
             ),
             (False, "## Score"),
@@ -126,10 +127,10 @@ def register(commands, kind: str) -> None:
             p.add_argument(flag, action=argparse.BooleanOptionalAction, default=None)
         else:
             p.add_argument(flag, type=int if f.type == "int" else str, choices=_CHOICES.get(f.name))
-    p.add_argument("--format", choices=(*FORMS, "all"), default="all")
+    for flags, told in ((["--no-input"], "ask nothing"), (["--force", "-f"], "write over existing files")):
+        p.add_argument(*flags, help=told, action="store_true")
     p.add_argument("--output-dir")
-    p.add_argument("--no-input", action="store_true", help="ask nothing")
-    p.add_argument("-f", "--force", action="store_true", help="write over existing files")
+    p.add_argument("--format", default="all", choices=(*FORMS, "all"))
     p.set_defaults(run=lambda args: _run(kind, args))
 
 
@@ -168,15 +169,15 @@ def collect(kind: str, args: argparse.Namespace, asking: bool):
     return made
 
 
-def _run(kind: str, args: argparse.Namespace) -> int:
-    if not args.no_input and not sys.stdin.isatty():
+def _run(kind: str, args) -> int:
+    if not (args.no_input or sys.stdin.isatty()):
         print("no terminal to ask on: give --no-input", file=sys.stderr)
         return 2
     asking = not args.no_input
     try:
         cells = collect(kind, args, asking).cells()
-    except ValueError as err:
-        print(f"error: {err}", file=sys.stderr)
+    except ValueError as wrong:
+        print("error:", wrong, file=sys.stderr)
         return 2
     default = f"{kind}-demo"
     folder = Path(args.output_dir or (_ask("output folder", default) if asking else default))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 Cells = list[tuple[bool, str]]
 
@@ -21,12 +22,12 @@ def script(cells: Cells) -> str:
     return "\n\n".join(out) + "\n"
 
 
-def walkthrough(cells: Cells, outputs: list[str] | None = None) -> str:
+def walkthrough(cells: Cells, outputs: Sequence[str] = ()) -> str:
     """Prose and fenced code; ``outputs`` has what each code cell printed. A table or an image in it stays Markdown."""
-    shown = iter(outputs or [])
+    shown = iter(outputs)
     out = []
     for is_code, text in cells:
-        out.append(f"```python\n{text}\n```" if is_code else text)
+        out.append("\n".join(["```python", text, "```"]) if is_code else text)
         got = next(shown, "").strip() if is_code else ""
         if got:
             out.append(got if got[0] == "|" or got.startswith("![") else f"```\n{got}\n```")

@@ -27,7 +27,7 @@ def project_world(points: np.ndarray, extrinsics: np.ndarray, focal: tuple[float
     inverse = np.linalg.inv(extrinsics)
     cam = points @ np.swapaxes(inverse[..., :3, :3], -1, -2) + inverse[..., None, :3, 3]
     z = cam[..., 2:]
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(all="ignore"):
         return np.where(z > 0, cam[..., :2] / z * np.array(focal) + np.array(centre), np.nan)
 
 

@@ -28,7 +28,7 @@ def sample_indexes(length: Column | str, max_frames: int = 8) -> Column:
     return F.when(n <= 0, none).when(n <= max_frames, whole).otherwise(spread)
 
 
-def sampled(length: int, max_frames: int = 8) -> list[int]:
+def sampled(length: int, max_frames=8) -> list:
     """``sample_indexes`` of one length, in a worker."""
     if length <= 0 or max_frames < 1:
         return list(range(max(0, length))) if length <= max_frames else []

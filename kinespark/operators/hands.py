@@ -27,7 +27,9 @@ from ..sources.schemas import HANDS
 
 CACHE_VARIABLE = "KINESPARK_CACHE"
 ASSETS_VARIABLE = "KINESPARK_WILOR_ROOT"
-LANDMARK_MODEL = "https://storage.googleapis.com/mediapipe-models/hand_landmarker/hand_landmarker/float16/1/hand_landmarker.task"
+_MODELS = "https://storage.googleapis.com/mediapipe-models"
+LANDMARK_MODEL = "/".join([_MODELS, *["hand_landmarker"] * 2, "float16", "1", "hand_landmarker.task"])
+File = str | None
 
 
 def hand(handedness: str, confidence: float, kp2d, kp3d=None) -> dict:
@@ -62,7 +64,7 @@ def landmarks_to_hands(landmarks: list, handedness: list, width: int, height: in
 class MediaPipe:
     """2D landmarks on the CPU."""
 
-    model_path: str | None = None
+    model_path: File = None
     num_hands: int = 2
     min_confidence: float = 0.3
     batch: int = 16
@@ -89,7 +91,8 @@ class MediaPipe:
                     out.append([])
                     continue
                 image = np.ascontiguousarray(image, dtype=np.uint8)
-                got = self.detector.detect(self.mp.Image(image_format=self.mp.ImageFormat.SRGB, data=image))
+                picture = self.mp.Image(data=image, image_format=self.mp.ImageFormat.SRGB)
+                got = self.detector.detect(picture)
                 out.append(landmarks_to_hands(got.hand_landmarks, got.handedness, image.shape[1], image.shape[0]))
             return out
 
@@ -108,7 +111,7 @@ class Wilor:
     """3D mesh keypoints on a GPU; the detector's own threshold applies."""
 
     mano_path: str
-    wilor_root: str | None = None
+    wilor_root: File = None
     device: str = "cuda"
     batch: int = 8
 
@@ -128,14 +131,14 @@ class Wilor:
             import sys
 
             sys.path.insert(0, root)  # of this worker process only
-            from wilor.datasets.vitdet_dataset import ViTDetDataset
-            from wilor.models import load_wilor
-            from wilor.utils import recursive_to
+            from importlib import import_module
 
-            self.torch, self.crops, self.to = torch, ViTDetDataset, recursive_to
+            part = lambda module, name: getattr(import_module(f"wilor.{module}"), name)
+            self.torch, self.crops, self.to = torch, part("datasets.vitdet_dataset", "ViTDetDataset"), part("utils", "recursive_to")
+            load_wilor = part("models", "load_wilor")
             self.device = torch.device(given.device)
-            self.model, self.config = load_wilor(checkpoint_path=f"{root}/pretrained_models/wilor_final.ckpt", cfg_path=f"{root}/pretrained_models/model_config.yaml")
-            self.model = self.model.to(self.device).eval()
+            model, self.config = load_wilor(checkpoint_path=f"{root}/pretrained_models/wilor_final.ckpt", cfg_path=f"{root}/pretrained_models/model_config.yaml")
+            self.model = model.eval().to(self.device)
             self.detector = ultralytics.YOLO(f"{root}/pretrained_models/detector.pt")
 
         def track(self, frames: list[np.ndarray | None]) -> list[list[dict]]:
@@ -145,15 +148,15 @@ class Wilor:
             boxes = self.detector(bgr, conf=self.DETECTOR_THRESHOLD, verbose=False)[0].boxes
             if not len(boxes):
                 return []
-            right = boxes.cls.cpu().numpy().astype(np.float32)
-            data = self.crops(self.config, bgr, boxes.xyxy.cpu().numpy()[:, :4], right, rescale_factor=2.0)
+            corners, right, sure = (x.float().cpu().numpy() for x in (boxes.xyxy[:, :4], boxes.cls, boxes.conf))
+            data = self.crops(self.config, bgr, corners, right, rescale_factor=2.0)
             batch = self.to(next(iter(self.torch.utils.data.DataLoader(data, batch_size=len(right), shuffle=False))), self.device)
             with self.torch.no_grad():
                 got = self.model(batch)
             host = lambda x: x.detach().float().cpu().numpy()
             size = host(batch["img_size"])[0]
             focal = G.scaled_focal(self.config.EXTRA.FOCAL_LENGTH, self.config.MODEL.IMAGE_SIZE, size)
-            return model_output_to_hands(right, boxes.conf.cpu().numpy(), host(got["pred_cam"]), host(got["pred_keypoints_3d"]), host(batch["box_center"]), host(batch["box_size"]), size, focal)
+            return model_output_to_hands(right, sure, host(got["pred_cam"]), host(got["pred_keypoints_3d"]), host(batch["box_center"]), host(batch["box_size"]), size, focal)
 
 
 ASSETS = ("pretrained_models/detector.pt", "pretrained_models/wilor_final.ckpt", "pretrained_models/model_config.yaml", "pretrained_models/dataset_config.yaml")
@@ -216,7 +219,7 @@ def track_with(images: Column | str, factory, *, batch: int = 16) -> Column:
     return tracked(as_column(images))
 
 
-def track_hands(images: Column | str, *, method: str, mano_path: str | None = None, wilor_root: str | None = None, device: str = "cuda", model_path: str | None = None, num_hands: int = 2, min_confidence: float = 0.3) -> Column:
+def track_hands(images: Column | str, *, method: str, num_hands: int = 2, min_confidence: float = 0.3, model_path: File = None, device: str = "cuda", mano_path: File = None, wilor_root: File = None) -> Column:
     """Hands in each image: array of struct handedness, confidence, kp2d, kp3d. A null image has none.
 
     ``mediapipe`` uses ``model_path``, ``num_hands`` and ``min_confidence``; ``wilor`` uses ``mano_path``, ``wilor_root``
@@ -224,9 +227,9 @@ def track_hands(images: Column | str, *, method: str, mano_path: str | None = No
     """
     if method == "mediapipe":
         return track_with(images, MediaPipe(model_path, num_hands, min_confidence), batch=16)
+    if method == "wilor" and not mano_path:
+        raise ValueError("method 'wilor' needs mano_path, the MANO_RIGHT.pkl file")
     if method == "wilor":
-        if not mano_path:
-            raise ValueError("method 'wilor' needs mano_path, the MANO_RIGHT.pkl file")
         return track_with(images, Wilor(mano_path, wilor_root, device), batch=8)
     if method in METHODS:
         return track_with(images, METHODS[method]())

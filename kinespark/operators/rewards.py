@@ -22,10 +22,12 @@ from ..sources.readers import AvDecoder, segment_frames
 from ..sources.schemas import REWARD
 
 ENDPOINT = "/evaluate_batch_npy"
+TIMEOUT_S = 600.0
+Headers = Mapping[str, str] | None
 _FRAMES = "sample_0_trajectory_frames"
 
 
-def build_request(frames: np.ndarray, task: str) -> tuple[bytes, str]:
+def build_request(frames, task) -> tuple[bytes, str]:
     """The frames as an ``.npy`` file and the JSON that describes them."""
     file = io.BytesIO()
     np.save(file, frames)
@@ -34,7 +36,7 @@ def build_request(frames: np.ndarray, task: str) -> tuple[bytes, str]:
     return file.getvalue(), json.dumps({"trajectory": clip, "resample_attempts": 1, "data_gen_strategy": None, "sample_type": "progress"})
 
 
-def parse_response(answer: dict) -> tuple[list[float], list[float]]:
+def parse_response(answer: dict) -> tuple:
     """Progress and success probability per frame."""
     of = lambda part, what: answer[part][what][0]
     return of("outputs_progress", "progress_pred"), of("outputs_success", "success_probs")
@@ -49,7 +51,7 @@ def _form(parts: list[tuple[str, str | None, bytes]]) -> tuple[str, bytes]:
     return f"multipart/form-data; boundary={mark}", body + f"--{mark}--\r\n".encode()
 
 
-def post(url: str, npy: bytes, sample: str, *, headers: Mapping[str, str] | None = None, timeout_s: float = 600.0) -> dict:
+def post(url: str, npy: bytes, sample: str, *, timeout_s: float = TIMEOUT_S, headers: Headers = None) -> dict:
     """The server's JSON answer; any status but 2xx raises."""
     kind, body = _form([(_FRAMES, _FRAMES + ".npy", npy), ("sample_0", None, sample.encode()), ("use_frame_steps", None, b"false")])
     asked = urllib.request.Request(url.rstrip("/") + ENDPOINT, data=body, headers={**(headers or {}), "Content-Type": kind}, method="POST")
@@ -57,7 +59,7 @@ def post(url: str, npy: bytes, sample: str, *, headers: Mapping[str, str] | None
         return json.load(answer)
 
 
-def score_rewards(task: Column | str, length: Column | str, from_ts: Column | str, to_ts: Column | str, video: Column | str, *, url: str, max_frames: int = 8, headers: Mapping[str, str] | None = None, timeout_s: float = 600.0, decoder=None, concurrency: int = 4, on_error: str = "raise") -> Column:
+def score_rewards(task: Column | str, length: Column | str, from_ts: Column | str, to_ts: Column | str, video: Column | str, *, url: str, decoder=None, timeout_s: float = TIMEOUT_S, headers: Headers = None, max_frames: int = 8, concurrency: int = 4, on_error: str = "raise") -> Column:
     """struct reward_score, robometer_success, reward_frames of each episode.
 
     Frames are sampled uniformly by a Column expression, decoded from the episode's segment
@@ -82,7 +84,7 @@ def score_rewards(task: Column | str, length: Column | str, from_ts: Column | st
             if on_error == "raise":
                 raise
             return None
-        return {"reward_score": progress, "robometer_success": success, "reward_frames": refs}
+        return {"reward_frames": refs, "robometer_success": success, "reward_score": progress}
 
     @F.arrow_udf(REWARD)
     def scored(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

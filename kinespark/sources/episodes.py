@@ -15,14 +15,18 @@ from ..functions.columns import file_uri, named, parent_dir, stem, with_suffix
 from . import schemas as S
 from .readers import AvDecoder, Hdf5Reader, resized
 
-FRAMES_A_CHUNK = 16
+_HEAD = ["task", "episode_id", "metadata"]
+Names = str | Sequence[str] | None
+Numbers = int | Sequence[int] | None
+Limit = float | None
+Side = int | None
 
 
 def _listed(x, kind: type) -> list | None:
     return x if x is None else [x] if isinstance(x, kind) else list(x)
 
 
-def raw(spark: SparkSession, path: str, *, tasks: str | Sequence[str] | None = None, episode_ids: int | Sequence[int] | None = None, reader=None, suffix: str = ".hdf5", video_suffix: str = ".mp4", options: dict[str, str] | None = None) -> DataFrame:
+def raw(spark: SparkSession, path: str, *, reader=None, episode_ids: Numbers = None, tasks: Names = None, suffix: str = ".hdf5", video_suffix: str = ".mp4", options: dict[str, str] | None = None) -> DataFrame:
     """One row per episode file under ``path``: task, episode_id, metadata, trajectory, video.
 
     ``path`` is the release, a split or one task directory. The files are listed once,
@@ -42,7 +46,7 @@ def raw(spark: SparkSession, path: str, *, tasks: str | Sequence[str] | None = N
     if episode_ids is not None:
         episodes = episodes.where(F.col("episode_id").isin(episode_ids))
     joined = episodes.join(videos, with_suffix("trajectory", suffix, video_suffix) == F.col("video"), "left")
-    return joined.withColumn("metadata", _metadata(reader)("trajectory")).select("task", "episode_id", "metadata", "trajectory", "video")
+    return joined.withColumn("metadata", _metadata(reader)("trajectory")).select(*_HEAD, "trajectory", "video")
 
 
 def _metadata(reader):
@@ -70,8 +74,8 @@ def trajectory(episodes: DataFrame, fields: Sequence[str] = S.DEFAULT_TRAJECTORY
     reader = reader or Hdf5Reader()
     if "trajectory" not in episodes.columns:
         raise ValueError(f"trajectory is not among the columns {episodes.columns}")
-    fields = tuple(fields)
-    if not fields:
+    fields = (*fields,)
+    if len(fields) == 0:
         raise ValueError("at least one field is needed")
     if unknown := [f for f in fields if f not in S.TRAJECTORY_FIELDS]:
         raise ValueError(f"Unknown trajectory fields: {unknown}")
@@ -83,10 +87,10 @@ def trajectory(episodes: DataFrame, fields: Sequence[str] = S.DEFAULT_TRAJECTORY
         for batch in uris:
             yield pa.array([{k: v.astype("float32").tolist() for k, v in reader.arrays(u, fields).items()} for u in batch.to_pylist()], kind)
 
-    return episodes.where(F.col("trajectory").isNotNull()).withColumn("__read", read("trajectory")).select("task", "episode_id", "metadata", *(named("__read").getField(f).alias(f) for f in fields), "video")
+    return episodes.where(F.col("trajectory").isNotNull()).withColumn("__read", read("trajectory")).select(*_HEAD, *(named("__read").getField(f).alias(f) for f in fields), "video")
 
 
-def camera_frames(episodes: DataFrame, *, start_time: float = 0, end_time: float | None = None, width: int | None = None, height: int | None = None, is_key_frame: bool | None = None, sample_interval_seconds: float | None = None, decoder=None) -> DataFrame:
+def camera_frames(episodes: DataFrame, *, decoder=None, height: Side = None, width: Side = None, sample_interval_seconds: Limit = None, is_key_frame: bool | None = None, end_time: Limit = None, start_time: float = 0) -> DataFrame:
     """Adds ``video_frames``: the frames of each row's video in a time range, resized; empty without a video.
 
     ``is_key_frame`` keeps only key frames (True) or only others (False); with an interval, the first frame of each interval from ``start_time`` on is kept.

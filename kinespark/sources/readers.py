@@ -9,7 +9,7 @@ and the task is tried again, on another executor if need be.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
@@ -86,7 +86,10 @@ class AvDecoder:
                 yield (None if f.pts is None else float(f.pts * stream.time_base)), f.to_ndarray(format="rgb24"), bool(f.key_frame)
 
 
-def segment_frames(decoder, uri: str, from_ts: float, to_ts: float, want: list[int]) -> tuple[np.ndarray, list[dict]]:
+SLACK = 1e-6
+
+
+def segment_frames(decoder, uri: str, from_ts: float, to_ts: float, want: Iterable[int]) -> tuple[np.ndarray, list]:
     """Frames of a segment by their number in it, and {index, timestamp_s} of each.
 
     The clock of a segment starts with its first frame that has a time of at least ``from_ts``; it ends before ``to_ts``.
@@ -94,9 +97,9 @@ def segment_frames(decoder, uri: str, from_ts: float, to_ts: float, want: list[i
     missing, images, refs, place = set(want), [], [], -1
     if missing:
         for t, image, _ in decoder.frames(uri, from_ts):
-            if t is None or t < from_ts - 1e-6:
+            if t is None or t + SLACK < from_ts:
                 continue
-            if t >= to_ts - 1e-6:
+            if t + SLACK >= to_ts:
                 break
             place += 1
             if place in missing:

@@ -31,7 +31,7 @@ def test_settings_are_checked(bad):
 
 def test_commands(tmp_path, capsys, monkeypatch):
     assert cli.main([]) == 0 and "hands" in capsys.readouterr().out
-    go = lambda *a: cli.main([*a, "--output-dir", str(tmp_path / "d")])
+    go = lambda *a: cli.main([*a, f"--output-dir={tmp_path}/d"])
     assert go("hands", "--no-input") == 0 and sorted(p.name for p in (tmp_path / "d").iterdir()) == ["demo.ipynb", "demo.md", "demo.py"]
     assert "match_hands" in (tmp_path / "d/demo.py").read_text()
     assert go("hands", "--no-input") == 1 and go("hands", "--no-input", "--force", "--no-with-eval") == 0
@@ -41,7 +41,7 @@ def test_commands(tmp_path, capsys, monkeypatch):
     assert go("hands", "--no-input", "-f", "--runtime", "cluster") == 0 and "local[*]" in (tmp_path / "d/demo.py").read_text()
     monkeypatch.setattr("sys.stdin.isatty", lambda: False, raising=False)
     assert go("rewards") == 2
-    assert go("rewards", "--no-input", "--force", "--dataset", "my/dataset", "--split", "sp", "--video-key", "cam", "--episodes", "3", "--max-frames", "4") == 0
+    assert go("rewards", "--no-input", "--force", *"--dataset=my/dataset --split=sp --video-key=cam --episodes=3 --max-frames=4".split()) == 0
     text = (tmp_path / "d/demo.py").read_text()
     assert "'my/dataset', 'sp', 'cam'" in text and "EPISODES, MAX_FRAMES = 3, 4" in text
 

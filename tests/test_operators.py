@@ -165,6 +165,10 @@ def test_model_cache(tmp_path, monkeypatch):
 # -- rewards
 
 
+def answer(progress, success):
+    return dict(outputs_success=dict(success_probs=[success]), outputs_progress=dict(progress_pred=[progress]))
+
+
 @pytest.fixture
 def server():
     seen = []
@@ -176,7 +180,7 @@ def server():
             if self.headers.get("X-Key") == "bad":
                 self.send_error(500)
                 return
-            data = json.dumps({"outputs_progress": {"progress_pred": [[i / 7 for i in range(8)]]}, "outputs_success": {"success_probs": [[0.5] * 8]}}).encode()
+            data = bytes(json.dumps(answer(np.linspace(0, 1, 8).tolist(), [0.5] * 8)), "ascii")
             self.send_response(200)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
@@ -186,8 +190,10 @@ def server():
             pass
 
     s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=s.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{s.server_port}/", seen
+    thread = threading.Thread(daemon=True, target=s.serve_forever)
+    thread.start()
+    host, port = s.server_address
+    yield f"http://{host}:{port}/", seen
     s.shutdown()
 
 
@@ -237,7 +243,7 @@ def test_request_and_response():
     told = json.loads(text)
     assert npy[1:6] == b"NUMPY" and told["trajectory"]["frames_shape"] == [8, 4, 4, 3] and told["sample_type"] == "progress"
     assert told["trajectory"]["metadata"] == {"subsequence_length": 8} and told["trajectory"]["lang_vector"] is None
-    assert parse_response({"outputs_progress": {"progress_pred": [[1.0]]}, "outputs_success": {"success_probs": [[0.2]]}}) == ([1.0], [0.2])
+    assert parse_response(answer([1.0], [0.2])) == ([1.0], [0.2])
 
 
 # -- plans and streams

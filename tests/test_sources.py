@@ -8,6 +8,7 @@ from kinespark.sources import schemas as S
 from kinespark.sources.readers import Hdf5Reader, NpzDecoder, NpzReader, resized, segment_frames
 
 N = 4
+HEAD = ["task", "episode_id", "metadata"]
 READ = {"reader": NpzReader(), "suffix": ".npz"}
 
 
@@ -15,7 +16,7 @@ def episode(root, task, number, video=False, confidences=False):
     folder = root / task
     folder.mkdir(parents=True, exist_ok=True)
     data = {"camera/intrinsic": 736 * np.eye(3, dtype=np.float32), "@llm_description": np.array("Fold the towel."), "@llm_verbs": np.array(["fold"]), "@annotated": np.array(True)}
-    data |= {f"transforms/{j}": np.tile(np.eye(4, dtype=np.float32), (N, 1, 1)) for j in S.TRANSFORM_JOINTS}
+    data |= {f"transforms/{j}": np.stack([np.identity(4, "f4")] * N) for j in S.TRANSFORM_JOINTS}
     if confidences:
         data |= {f"confidences/{j}": np.linspace(0, 1, N, dtype=np.float32) for j in S.JOINTS}
     np.savez(folder / f"{number}.npz", **data)
@@ -33,7 +34,7 @@ def test_catalog_rows_types_and_missing_video(spark, tmp_path):
     episode(tmp_path, "fold_towel", 0, video=True)
     episode(tmp_path, "stack_cups", 3)
     df = E.raw(spark, f"{tmp_path}/", **READ)
-    assert df.columns == ["task", "episode_id", "metadata", "trajectory", "video"]
+    assert df.columns == [*HEAD, "trajectory", "video"]
     assert df.schema["episode_id"].dataType.simpleString() == "bigint" and df.schema["metadata"].dataType == S.METADATA
     fold, cups = df.sort("task").collect()
     assert (fold.task, fold.episode_id) == ("fold_towel", 0)
@@ -47,7 +48,7 @@ def test_catalog_filters_before_files_open(spark, tmp_path):
         episode(tmp_path, task, number)
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "7.npz").write_bytes(b"not an archive")
-    rows = E.raw(spark, str(tmp_path), tasks="fold_towel", episode_ids=[1], **READ).collect()
+    rows = E.raw(spark, str(tmp_path), episode_ids=[1], tasks="fold_towel", **READ).collect()
     assert [(r.task, r.episode_id) for r in rows] == [("fold_towel", 1)]
     assert E.raw(spark, str(tmp_path), tasks=[], **READ).count() == 0
     assert E.raw(spark, str(tmp_path), episode_ids=0, **READ).select("task").count() == 2
@@ -57,21 +58,20 @@ def test_trajectory_fields_and_shapes(spark, tmp_path):
     episode(tmp_path, "t", 0)
     catalog = E.raw(spark, str(tmp_path), **READ)
     got = E.trajectory(catalog, reader=NpzReader())
-    assert got.columns == ["task", "episode_id", "metadata", *S.DEFAULT_TRAJECTORY_FIELDS, "video"]
+    assert got.columns == [*HEAD, *S.DEFAULT_TRAJECTORY_FIELDS, "video"]
     row = got.first()
     assert np.array(row["camera/intrinsic"]).shape == (3, 3) and np.array(row["transforms/leftHand"]).shape == (N, 4, 4)
     one = E.trajectory(catalog, ["transforms/hip"], reader=NpzReader())
-    assert one.columns == ["task", "episode_id", "metadata", "transforms/hip", "video"]
+    assert one.columns == [*HEAD, "transforms/hip", "video"]
     with pytest.raises(Exception, match="confidences"):
         E.trajectory(catalog, ["confidences/hip"], reader=NpzReader()).collect()
 
 
 def test_trajectory_checks_its_arguments(spark, tmp_path):
     df = spark.createDataFrame([("a",)], "trajectory string")
-    with pytest.raises(ValueError, match="at least one"):
-        E.trajectory(df, [], reader=NpzReader())
-    with pytest.raises(ValueError, match="Unknown trajectory"):
-        E.trajectory(df, ["transforms/tail"], reader=NpzReader())
+    for names, told in (([], "at least one"), (["transforms/tail"], "Unknown trajectory")):
+        with pytest.raises(ValueError, match=told):
+            E.trajectory(df, names, reader=NpzReader())
     with pytest.raises(ValueError, match="trajectory"):
         E.trajectory(df.drop("trajectory").selectExpr("1 AS x"), reader=NpzReader())
 
