@@ -37,7 +37,7 @@ from .workspace import clear_of, cut, stored
 THRESHOLD = 0.8
 SKETCHES, TAKE, PAIR = 24, 2, 2
 LANES = 96
-HOT = 256
+HOT, BLOCK = 256, 50_000
 ROUNDS = 40
 
 _DROP = at.SPACE.copy()
@@ -154,26 +154,26 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return (((x == y) & (x > 0)).sum(axis=1) >= least * used) | (used < LANES // 2)
 
 
-def leader_pairs(key: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each item with the leader of its run: the first item, or the first that isn't too short for it to be alike."""
+def leaders(key: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """The leader of each item's run: the first item, or the first that isn't too short for it to be alike."""
     size = len(key)
     leader = np.arange(size)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if size else leader
-    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if size else leader
+    if not size:
+        return leader
+    new = np.r_[True, key[1:] != key[:-1]]
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
     ends = np.r_[starts[1:], size]
-    lead = starts.copy()
+    lead = starts
     while len(lead):
         # the run's items from here on that can be alike to the leader
         head = np.full(len(starts), -1)
         head[run[lead]] = lead
         of = head[run]
-        mine = (of >= 0) & (np.arange(size) > of) & (n[of] >= threshold * n)
+        mine = (of >= 0) & (leader > of) & (n[of] >= threshold * n)
         leader[mine] = of[mine]
-        after = np.where(mine, np.arange(size), -1)
-        last = lead + np.bincount(run[after >= 0], minlength=len(starts))[run[lead]] + 1
-        lead = last[last < ends[run[lead]]]
-    item = np.flatnonzero(leader != np.arange(size))
-    return leader[item], item
+        after = lead + np.bincount(run[mine], minlength=len(starts))[run[lead]] + 1
+        lead = after[after < ends[run[lead]]]
+    return leader
 
 
 def cross_pairs(key: np.ndarray, n: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -208,18 +208,18 @@ def cross_pairs(key: np.ndarray, n: np.ndarray, root: np.ndarray, threshold: flo
 
 
 def _candidates(threshold: float, rooted: bool):
-    """Pairs within runs of equal key; input is sorted by key, n, rep. Memory is a batch and the run at its end.
+    """Pairs within runs of equal key; input is sorted by key, n, rep.
 
-    Without roots, each text with its run's leader; with roots, all pairs of different roots.
+    Without roots, each text with its run's leader; what is kept between batches is that leader. With roots, all pairs
+    of different roots; what is kept is the run at a batch's end, whose size ``_blocks`` bounds.
     """
     least = least_alike(threshold)
     names = ["key", "n", "rep", *(["root"] if rooted else [])]
 
-    def emit(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, n, rep, *root, lanes = columns
+    def emit(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rep: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         held = 0
-        for i, j in cross_pairs(key, n, root[0], threshold) if rooted else [leader_pairs(key, n, threshold)]:
+        for i, j in pairs:
             for k in range(0, len(i), 50_000):
                 x, y = i[k : k + 50_000], j[k : k + 50_000]
                 ok = _alike(lanes[x], lanes[y], least)
@@ -241,20 +241,42 @@ def _candidates(threshold: float, rooted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             got = [*(batch.column(c).to_numpy() for c in names), np.frombuffer(at.utf8(batch.column("lanes"))[0], np.uint8).reshape(-1, LANES)]
             if held is not None:
                 got = [np.concatenate([h, g]) for h, g in zip(held, got, strict=True)]
-            if not len(got[0]):
-                continue
-            end = int(np.flatnonzero(got[0] != got[0][-1])[-1]) + 1 if got[0][0] != got[0][-1] else 0
-            held = [g[end:] for g in got]
-            yield from emit([g[:end] for g in got])
-        if held is not None:
-            yield from emit(held)
+            if rooted:
+                end = int(np.flatnonzero(got[0] != got[0][-1])[-1]) + 1 if got[0][0] != got[0][-1] else 0
+                held = [g[end:] for g in got]
+                key, n, rep, root, lanes = (g[:end] for g in got)
+                yield from emit(cross_pairs(key, n, root, threshold), rep, lanes)
+            else:
+                key, n, rep, lanes = got
+                leader = leaders(key, n, threshold)
+                item = np.flatnonzero(leader != np.arange(len(leader)))
+                yield from emit(iter([(leader[item], item)]), rep, lanes)
+                held = [g[leader[-1] : leader[-1] + 1] for g in got]
+        if rooted and held is not None:
+            key, n, rep, root, lanes = held
+            yield from emit(cross_pairs(key, n, root, threshold), rep, lanes)
 
     return run
 
 
+def _blocks(rooted: DataFrame) -> DataFrame:
+    """Runs that hold several roots, the long ones cut into blocks of about ``BLOCK`` rows.
+
+    Rows of a run's most frequent root are spread over its blocks and all others are in each block, so every pair of
+    different roots still meets in one.
+    """
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("rows"), F.max_by("root", "m").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    n = F.ceil(F.col("rows") / BLOCK).cast("int")
+    blocks = F.when(F.col("root") == F.col("top"), F.array(F.pmod(F.xxhash64("rep"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
+    spread = rooted.join(sizes, "key").select("key", "rep", "n", "root", n.alias("blocks"), F.explode(blocks).alias("block"))
+    return spread.select(F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "rep", "n", "root")
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
@@ -407,8 +429,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     first = verified(within(runs.join(lanes, "rep").select("key", "n", "rep", "lanes"), False))
     roots = components(first)
     rooted = runs.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = rooted.join(mixed, "key").join(lanes, "rep").select("key", "n", "rep", "root", "lanes")
+    rest = _blocks(rooted).join(lanes, "rep").select("key", "n", "rep", "root", "lanes")
     return texts, first.unionByName(verified(within(rest, True)))
 
 

@@ -9,7 +9,9 @@ Instead, shorter windows are hashed only at positions whose remainder modulo a p
 in a difference cover: for any two positions there is a shift below the period that puts
 both on the cover, so two equal long windows always share an anchor at equal offsets.
 Anchors that occur once are dropped in one exchange; around the rest the match is
-extended, by comparing 80-bit fingerprints of the whole windows, in a second one.
+extended, by comparing 80-bit fingerprints of the whole windows, in a second one. A hash
+that repeats inside a task's batch is settled there and sent on once, so a passage that a
+third of all rows share costs one entry a batch, not one a row, in the task of its hash.
 
 Defined results: null and empty texts have no words and lose none; rows that are repeated
 as a whole count as two places; null ids are kept; an empty table gives an empty table.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ WINDOW = 35
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 ROWS_A_GROUP = 12_000
 _FLUSH = 600_000
-_BLOB = "part int, a binary, b binary, place binary, per binary, k1 binary, k2 binary"
+_BLOB = "part int, known boolean, a binary, b binary, place binary, per binary, k1 binary, k2 binary"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -74,41 +77,65 @@ class _Blobs:
         a, b, place, k1, k2 = (np.concatenate([x[i] for x in self.held]) for i in (0, 1, 3, 4, 5))
         row = np.concatenate([x[2] + base[i] for i, x in enumerate(self.held)])
         self.held, self.n = [], 0
-        part = ((a >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
+        # repeats inside this batch are settled here: their places travel by row, and one of them by hash for other batches
+        twice, first = _repeats(a, b)
+        by_hash = np.flatnonzero(~twice | first)
+        yield self._packed(a, b, place, row, k1, k2, by_hash, (a[by_hash] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32), False)
+        by_row = np.flatnonzero(twice)
+        if len(by_row):
+            of_row = at.mix(k2.view(np.uint64))[row[by_row]]
+            yield self._packed(a, b, place, row, k1, k2, by_row, (of_row >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32), True)
+
+    def _packed(self, a, b, place, row, k1, k2, take, part, known: bool) -> pa.RecordBatch:
+        part = part.astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for p in range(self.parts):
-            at_ = order[cuts[p] : cuts[p + 1]]
+            at_ = take[order[cuts[p] : cuts[p + 1]]]
             if not len(at_):
                 continue
             first = np.flatnonzero(np.r_[True, np.diff(row[at_]) != 0])
             rows = row[at_][first]
             per = np.diff(np.r_[first, len(at_)]).astype(np.uint32)
-            for col, x in zip(out, (p, a[at_].tobytes(), b[at_].tobytes() if len(b) else b"", place[at_].astype(np.uint32).tobytes(), per.tobytes(), k1[rows].tobytes(), k2[rows].tobytes()), strict=True):
+            hashes = (b"", b"") if known else (a[at_].tobytes(), b[at_].tobytes() if len(b) else b"")
+            for col, x in zip(out, (p, known, *hashes, place[at_].astype(np.uint32).tobytes(), per.tobytes(), k1[rows].tobytes(), k2[rows].tobytes()), strict=True):
                 col.append(x)
-        names = ["part", "a", "b", "place", "per", "k1", "k2"]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=names)
+        names = ["part", "known", "a", "b", "place", "per", "k1", "k2"]
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in out[2:])], names=names)
 
 
-def _column(table: pa.Table, name: str, dtype: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype) for x in table.column(name).to_pylist()] or [np.zeros(0, dtype)])
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one part of the hash space: rows and places of hashes that occur more than once."""
-    a, b = _column(table, "a", np.uint64), _column(table, "b", np.uint16)
+def _repeats(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item: whether an equal one exists, and whether it is the first of several."""
     order = np.lexsort((b, a)) if len(b) else np.argsort(a, kind="stable")
     same = a[order][1:] == a[order][:-1]
     if len(b):
         same &= b[order][1:] == b[order][:-1]
-    twice = np.zeros(len(a), dtype=bool)
+    twice, first = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    del a, b, order
+    first[order[:-1][same & ~np.r_[False, same[:-1]]]] = True
+    return twice, first
+
+
+def _column(table: pa.Table, name: str, dtype: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype) for x in table.column(name).to_pylist()] or [np.zeros(0, dtype)])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one part: rows and places of hashes that occur more than once, and those known to from their batch."""
+    known = table.filter(table.column("known"))
+    table = table.filter(pc.invert(table.column("known")))
+    twice, _ = _repeats(_column(table, "a", np.uint64), _column(table, "b", np.uint16))
+    found = [_places(known, None), _places(table, twice)]
+    return pa.concat_tables(found)
+
+
+def _places(table: pa.Table, take: np.ndarray | None) -> pa.Table:
     place, per = _column(table, "place", np.uint32), _column(table, "per", np.uint32)
-    row = np.repeat(np.arange(len(per)), per)[twice]
-    place = place[twice]
+    row = np.repeat(np.arange(len(per)), per)
+    if take is not None:
+        row, place = row[take], place[take]
     first = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)
     rows = row[first]
     ends = np.r_[first[1:], len(row)] if len(row) else first
