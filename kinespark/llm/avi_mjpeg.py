@@ -9,8 +9,8 @@ within ``AROUND`` frames by ``JUMP`` standard deviations; the frames between two
 places are a clip. All of this is integer arithmetic, so equal payloads give equal rows.
 
 Defined results: a null or empty payload is 64 zero bytes, one frame, one clip; payloads
-of any length are coded 512 frames at a time; a file that isn't such an AVI raises
-``AviError`` or ``JpegError``; an empty table gives an empty table; other columns are ignored.
+of any length are coded 512 frames at a time; ``clips`` also reads other AVI files with
+baseline frames; a file that isn't one raises ``AviError`` or ``JpegError``; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ BLOCK_FRAMES = 512
 BINS, LEVELS = 16, 4096
 LEAST_JUMP, JUMP, AROUND = 400, 2, 3  # of 2 * LEVELS; deviations; frames
 _WIDTH = 8 * jpeg.SIDE
+_VIDEO = [int.from_bytes(x, "little") for x in (b"dc", b"db")]  # the kinds of chunk that are frames
 
 
 class AviError(ValueError):
@@ -65,8 +66,8 @@ def build(frames: list[bytes], payload: int) -> bytes:
     return _chunk(b"RIFF", b"AVI " + body)
 
 
-def parse(data: memoryview | bytes) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Start and end of each indexed frame, frames a second, and the payload's length."""
+def parse(data: memoryview | bytes) -> tuple[np.ndarray, np.ndarray, float, int | None]:
+    """Start and end of each indexed video frame, frames a second, and the payload's length if it is one of ours."""
     if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
         raise AviError("no RIFF AVI header")
     movi, index, fps, payload = None, None, 0.0, None
@@ -90,9 +91,13 @@ def parse(data: memoryview | bytes) -> tuple[np.ndarray, np.ndarray, float, int]
             i += 8 + size + (size & 1)
 
     walk(12, 8 + struct.unpack_from("<I", data, 4)[0])
-    if movi is None or index is None or payload is None:
-        raise AviError("no frames, no index or no payload length")
-    starts = index[:, 2].astype(np.int64) + movi + 8
+    if movi is None or index is None:
+        raise AviError("no frames or no index")
+    index = index[np.isin(index[:, 0] >> 16, _VIDEO)]
+    starts = index[:, 2].astype(np.int64) + 8
+    # offsets count from the movi list's name; some writers count from the start of the file
+    if len(starts) and bytes(data[starts[0] - 8 + movi : starts[0] - 4 + movi]) == index[0, 0].tobytes():
+        starts += movi
     return starts, starts + index[:, 3], fps, payload
 
 
@@ -127,6 +132,8 @@ def read(files: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     starts = np.concatenate([p[0] + b for p, b in zip(parsed, base, strict=False)] or [np.zeros(0, np.int64)])
     ends = np.concatenate([p[1] + b for p, b in zip(parsed, base, strict=False)] or [np.zeros(0, np.int64)])
     rows = np.r_[0, np.cumsum([len(p[0]) for p in parsed])]
+    if any(p[3] is None for p in parsed):
+        raise jpeg.JpegError("a file without a payload")
     length = np.array([p[3] for p in parsed], dtype=np.int64)
     samples = np.concatenate([jpeg.decode(whole, starts[k : k + BLOCK_FRAMES], ends[k : k + BLOCK_FRAMES]) for k in range(0, len(starts), BLOCK_FRAMES)] or [np.zeros((0, jpeg.FRAME_BYTES), np.uint8)])
     per = samples.shape[1]
@@ -142,6 +149,19 @@ def read(files: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     return payloads, rows, hist * LEVELS // np.maximum(1, real)[:, None], parsed[0][2] if parsed else float(FPS)
 
 
+def read_any(file: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frames by file, histograms and frames a second of an AVI whose frames are any baseline JPEG; an empty chunk repeats the frame before it."""
+    starts, ends, fps, _ = parse(file)
+    hist = np.zeros((len(starts), BINS), dtype=np.int64)
+    for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if i == j:
+            hist[k] = hist[k - 1] if k else 0
+            continue
+        plane = jpeg.luma(file[i:j])
+        hist[k] = np.bincount(plane.ravel() >> 4, minlength=BINS) * LEVELS // max(1, plane.size)
+    return np.array([0, len(starts)]), hist, fps
+
+
 def shots(hist: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Whether each frame begins a clip."""
     n = len(hist)
@@ -204,7 +224,10 @@ def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = one.column("media")[0].as_py()
             if media is None:
                 continue
-            _, rows, hist, fps = read([media])
+            try:
+                _, rows, hist, fps = read([media])
+            except jpeg.JpegError:
+                rows, hist, fps = read_any(media)
             first = np.flatnonzero(shots(hist, rows))
             last = np.r_[first[1:], len(hist)]
             yield pa.RecordBatch.from_arrays(

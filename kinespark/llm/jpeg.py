@@ -5,10 +5,13 @@ coefficient is exactly the sample less 128, so any baseline decoder gives back 6
 samples of that value, and nothing is lost. Frames are grey, one restart interval per row
 of blocks. Restart intervals start on a byte and with a fresh predictor, so all of them,
 over all frames of a batch, are coded and decoded side by side, one block a step.
+``luma`` reads any other baseline frame, one symbol after another.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 SIDE = 32  # blocks
@@ -196,3 +199,161 @@ def decode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         at = np.minimum(at + n + size_ + 1, 8 * len(word) - 1)
     samples = np.clip(np.round(out * quant / 8) + 128, 0, 255).astype(np.uint8)
     return samples.reshape(len(starts), -1)[:, : wide * high]
+
+
+# -- any baseline frame, one symbol after another ---------------------------------------
+
+_ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+
+
+def _spans(*pairs: tuple[int, int]) -> list[int]:
+    return [x for a, b in pairs for x in range(a, b + 1)]
+
+
+_NINE = tuple((16 * r + 3, 16 * r + 10) for r in range(4, 8))
+#: The tables that motion-JPEG frames without tables of their own mean, by (class, number).
+_STANDARD = {
+    (0, 0): ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))),
+    (0, 1): ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), tuple(range(12))),
+    (1, 0): (
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        tuple(bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a"))
+        + tuple(_spans((0x34, 0x3A), *_NINE, (0x83, 0x8A), *((16 * r + 2, 16 * r + 10) for r in range(9, 14)), (0xE1, 0xEA), (0xF1, 0xFA))),
+    ),
+    (1, 1): (
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        tuple(bytes.fromhex("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a".replace(" ", "")))
+        + tuple(_spans((0x35, 0x3A), *_NINE, *((16 * r + 2, 16 * r + 10) for r in range(8, 16)))),
+    ),
+}
+_BASIS = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Reader:
+    """Bits of one restart interval, stuffing taken out."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data.replace(b"\xff\x00", b"\xff") + b"\xff" * 8, 0
+
+    def peek(self) -> int:
+        i = self.at >> 3
+        return (int.from_bytes(self.data[i : i + 4], "big") >> (16 - (self.at & 7))) & 0xFFFF
+
+    def symbol(self, table: tuple[np.ndarray, np.ndarray]) -> int:
+        if self.at > 8 * len(self.data):
+            raise JpegError("the scan ends early")
+        k = self.peek()
+        n = int(table[1][k])
+        if not n:
+            raise JpegError("no such code")
+        self.at += n
+        return int(table[0][k])
+
+    def extra(self, size: int) -> int:
+        if not size:
+            return 0
+        v = self.peek() >> (16 - size)
+        self.at += size
+        return v if v >> (size - 1) else v - (1 << size) + 1
+
+
+def luma(data: bytes) -> np.ndarray:
+    """The first component, (height, width) in samples, of any 8-bit baseline JPEG: grey or colour, any sampling, with or without Huffman tables and restarts."""
+    if data[:2] != b"\xff\xd8":
+        raise JpegError("no start of image")
+    i, quant, parts, every = 2, {}, [], 0
+    tables = {k: _codes(*v)[1:] for k, v in _STANDARD.items()}
+    width = height = 0
+    coefficients: np.ndarray | None = None
+    while i + 4 <= len(data):
+        if data[i] != 0xFF:
+            raise JpegError("no marker")
+        marker = data[i + 1]
+        if marker == 0xFF:
+            i += 1
+            continue
+        if marker == 0xD9:
+            break
+        n = int.from_bytes(data[i + 2 : i + 4], "big")
+        body, i = data[i + 4 : i + 2 + n], i + 2 + n
+        if marker == 0xDB:
+            while body:
+                wide = 1 + (body[0] >> 4)
+                quant[body[0] & 15], body = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else "u1").astype(np.int64), body[1 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                bits = tuple(body[1:17])
+                k = 17 + sum(bits)
+                tables[body[0] >> 4, body[0] & 15] = _codes(bits, tuple(body[17:k]))[1:]
+                body = body[k:]
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise JpegError("not 8 bits")
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8:
+            raise JpegError("not a baseline frame")
+        elif marker == 0xDD:
+            every = int.from_bytes(body[:2], "big")
+        elif marker == 0xDA:
+            if not parts:
+                raise JpegError("a scan before its frame")
+            end = i
+            while not (data[end] == 0xFF and data[end + 1] not in (0, *range(0xD0, 0xD8))):
+                end += 1
+                if end + 1 >= len(data):
+                    raise JpegError("the scan ends early")
+            asked = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            got = _scan(data[i:end], asked, parts, tables, every, width, height)
+            coefficients = got if got is not None else coefficients
+            i = end
+    if coefficients is None:
+        raise JpegError("no scan of the first component")
+    _, h, v, q = parts[0]
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    blocks = np.zeros((*coefficients.shape[:2], 64))
+    blocks[..., _ZIGZAG] = coefficients * quant[q]
+    pixels = np.einsum("ux,rcuv,vy->rxcy", _BASIS, blocks.reshape(*coefficients.shape[:2], 8, 8), _BASIS)
+    plane = pixels.reshape(pixels.shape[0] * 8, -1)[: -(-height * v // most_v), : -(-width * h // most_h)]
+    return np.clip(np.round(plane) + 128, 0, 255).astype(np.uint8)
+
+
+def _scan(raw: bytes, asked: list[tuple], parts: list[tuple], tables: dict, every: int, width: int, height: int) -> np.ndarray | None:
+    """Coefficients (block row, block column, 64 in zigzag order) of the first component, if the scan has it."""
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    by_id = {p[0]: p for p in parts}
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    alone = len(asked) == 1
+    if alone:  # a scan of one component runs over its own blocks
+        _, h, v, _ = by_id[asked[0][0]]
+        across, down = -(-(-(-width * h // most_h)) // 8), -(-(-(-height * v // most_v)) // 8)
+    main = parts[0]
+    mine = [a for a in asked if a[0] == main[0]]
+    out = np.zeros((down * (1 if alone else main[2]), across * (1 if alone else main[1]), 64), dtype=np.int64)
+    pieces = re.split(b"\xff[\xd0-\xd7]", raw)
+    total = across * down
+    for k, piece in enumerate(pieces):
+        bits, last = _Reader(piece), dict.fromkeys(by_id, 0)
+        for unit in range(k * every, min(total, (k + 1) * every) if every else total):
+            for who, dc, ac in asked:
+                _, h, v, _ = by_id[who]
+                for y in range(1 if alone else v):
+                    for x in range(1 if alone else h):
+                        last[who] += bits.extra(bits.symbol(tables[0, dc]))
+                        at, values = 1, {0: last[who]}
+                        while at < 64:
+                            s = bits.symbol(tables[1, ac])
+                            run, size = s >> 4, s & 15
+                            if not size and run != 15:
+                                break
+                            at += run
+                            if size:
+                                values[at] = bits.extra(size)
+                            at += 1
+                        if who == main[0]:
+                            row, col = unit // across * (1 if alone else v) + y, unit % across * (1 if alone else h) + x
+                            for z, value in values.items():
+                                if z > 63:
+                                    raise JpegError("a block runs over")
+                                out[row, col, z] = value
+    return out if mine else None

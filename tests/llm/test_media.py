@@ -110,6 +110,82 @@ def test_avi_structure_and_errors():
         jpeg.decode(progressive, np.array([0]), np.array([len(progressive)]))
 
 
+def simple_encode(planes, sampling, quant, every=0, tables=True):
+    """A plain baseline JPEG writer: planes in samples, (h, v) per component, one quantiser, the standard Huffman tables."""
+    most = max(h for h, _ in sampling), max(v for _, v in sampling)
+    height, width = planes[0].shape[0] * most[1] // sampling[0][1], planes[0].shape[1] * most[0] // sampling[0][0]
+    across, down = -(-width // (8 * most[0])), -(-height // (8 * most[1]))
+    code = {k: jpeg._codes(*v)[0] for k, v in jpeg._STANDARD.items()}
+    grids = []
+    for p, (h, v) in zip(planes, sampling):
+        full = np.pad(p.astype(float) - 128, ((0, down * v * 8 - p.shape[0]), (0, across * h * 8 - p.shape[1])), mode="edge")
+        b = full.reshape(down * v, 8, across * h, 8).transpose(0, 2, 1, 3)
+        c = np.einsum("ux,rcxy,vy->rcuv", jpeg._BASIS, b, jpeg._BASIS)
+        grids.append(np.round(c / quant).astype(int).reshape(down * v, across * h, 64)[..., jpeg._ZIGZAG])
+    bits, out, last = "", b"", [0] * len(planes)
+
+    def put(table, symbol):
+        c, n = code[table][symbol]
+        return format(c, f"0{n}b")
+
+    def value(v):
+        size = abs(v).bit_length()
+        return format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def close(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    for unit in range(across * down):
+        if every and unit and unit % every == 0:
+            out, bits, last = out + close(bits) + bytes([0xFF, 0xD0 + (unit // every - 1) % 8]), "", [0] * len(planes)
+        for k, (h, v) in enumerate(sampling):
+            t = min(k, 1)
+            for y in range(v):
+                for x in range(h):
+                    z = grids[k][unit // across * v + y, unit % across * h + x].tolist()
+                    d, last[k] = z[0] - last[k], z[0]
+                    bits += put((0, t), abs(d).bit_length()) + value(d)
+                    run = 0
+                    top = max((i for i in range(1, 64) if z[i]), default=0)
+                    for a in z[1 : top + 1]:
+                        if not a:
+                            run += 1
+                            continue
+                        bits += put((1, t), 0xF0) * (run // 16) + put((1, t), (run % 16) << 4 | abs(a).bit_length()) + value(a)
+                        run = 0
+                    if top < 63:
+                        bits += put((1, t), 0)
+    seg = jpeg._segment
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([quant] * 64)) + seg(0xC0, b"\x08" + struct.pack(">HHB", height, width, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling)))
+    if tables:
+        head += b"".join(seg(0xC4, bytes([c << 4 | n, *b, *v])) for (c, n), (b, v) in jpeg._STANDARD.items())
+    if every:
+        head += seg(0xDD, struct.pack(">H", every))
+    return head + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(len(planes))) + b"\0\x3f\0") + out + close(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling, every, tables", [([(1, 1)], 0, True), ([(1, 1)], 3, False), ([(2, 2), (1, 1), (1, 1)], 0, False), ([(2, 1), (1, 1), (1, 1)], 2, True)])
+def test_any_baseline_frame_is_read(sampling, every, tables):
+    rng = np.random.default_rng(8)
+    h, v = sampling[0]
+    y, x = np.mgrid[0 : 22 * v, 0 : 19 * h]
+    planes = [np.clip(60 + 3 * x + 2 * y + rng.normal(0, 12, x.shape), 0, 255).astype(np.uint8)] + [rng.integers(90, 160, (22, 19)).astype(np.uint8) for _ in sampling[1:]]
+    got = jpeg.luma(simple_encode(planes, sampling, 2, every, tables))
+    assert got.shape == planes[0].shape and np.abs(got.astype(int) - planes[0]).max() <= 8 and np.abs(got.astype(int) - planes[0]).mean() < 1.5
+    assert [len(b[1]) for b in jpeg._STANDARD.values()] == [12, 12, 162, 162] and all(sum(b) == len(v) == len(set(v)) for b, v in jpeg._STANDARD.values())
+
+
+def test_clips_of_foreign_video(spark):
+    grey = [20] * 6 + [200] * 5
+    frames = [simple_encode([np.full((16, 24), g, np.uint8)], [(1, 1)], 4) for g in grey]
+    file = avi_mjpeg.build(frames, 0)
+    foreign = file.replace(b"strd", b"JUNK")
+    assert avi_mjpeg.parse(foreign)[3] is None and (jpeg.luma(frames[0]) == 20).all()
+    df = spark.createDataFrame([(1, bytearray(foreign))], "doc_id long, media binary")
+    assert [(c.first_frame, c.n_frames) for c in avi_mjpeg.clips(df).sort("clip").collect()] == [(0, 6), (6, 5)]
+
+
 # -- SentencePiece
 
 TOY = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in [("▁", -5.0), ("▁a", -2.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0), ("▁ab", -6.5), ("ba", -5.9), ("▁▁", -7.0), ("aab", -8.0), ("é", -3.5)])]
