@@ -32,7 +32,7 @@ from .workspace import clear_of
 FOLDS, HELD_OUT = 3, 1
 BUCKETS = 1 << 16
 PENALTY = 6.0
-EM_STEPS = 12
+EM_STEPS = 30
 SMOOTH = 0.5
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -125,7 +125,12 @@ def mixture(like: np.ndarray, rows: np.ndarray, steps: int = EM_STEPS) -> tuple[
 
 
 def identify(like: np.ndarray, rows: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, its proportion, and the number of languages of each row."""
+    """Best language, its proportion, and the number of languages of each row.
+
+    The log likelihood is concave in the proportions, so a further language gains at most its slope at proportion zero,
+    the sum over words of p(word | language) / p(word | mixture) - 1. Expectation-maximisation runs only for rows and
+    languages whose slope exceeds the cost.
+    """
     n, k = len(rows) - 1, like.shape[1]
     single = _sum_rows(like, rows)
     chosen = np.zeros((n, k), dtype=bool)
@@ -133,29 +138,38 @@ def identify(like: np.ndarray, rows: np.ndarray, penalty: float = PENALTY) -> tu
     chosen[np.arange(n), best] = True
     value, share = single[np.arange(n), best], np.ones(n)
     cost = penalty + 0.5 * np.log(np.maximum(1, np.diff(rows)))
-    # a mixture can't gain more than each word's best language does over the single one
-    upper = _sum_rows(like.max(axis=1, keepdims=True), rows)[:, 0]
-    open_ = np.flatnonzero((upper - value > cost) & (k > 1))
+    mixed = np.take_along_axis(like, np.repeat(best, np.diff(rows))[:, None], axis=1)[:, 0] if len(like) else np.zeros(0)
+    open_ = np.arange(n) if k > 1 else np.zeros(0, np.int64)
     while len(open_):
-        gain, add, theta_of = np.full(len(open_), -np.inf), np.zeros(len(open_), np.int64), np.zeros((len(open_), k))
-        take = np.concatenate([np.arange(rows[i], rows[i + 1]) for i in open_])
+        take = np.concatenate([np.arange(rows[i], rows[i + 1]) for i in open_]) if len(open_) < n else slice(None)
         ptr = np.r_[0, np.cumsum(np.diff(rows)[open_])]
-        part = like[take]
+        part, base = like[take], mixed[take]
+        slope = _sum_rows(np.exp(np.minimum(part - base[:, None], 500.0)) - 1.0, ptr)
+        may_gain = (slope > cost[open_, None]) & ~chosen[open_]
+        gain, add = np.zeros(len(open_)), np.full(len(open_), -1)
+        theta_of = np.zeros((len(open_), k))
         for extra in range(k):
-            may = chosen[open_].copy()
-            new = ~may[:, extra]
-            may[:, extra] = True
-            masked = np.where(np.repeat(may, np.diff(ptr), axis=0), part, -1e9)
-            theta, fit = mixture(masked, ptr)
-            up = np.where(new, fit - value[open_] - cost[open_], -np.inf)
-            better = up > gain
-            gain[better], add[better], theta_of[better] = up[better], extra, theta[better]
-        win = gain > 0
+            who = np.flatnonzero(may_gain[:, extra])
+            if not len(who):
+                continue
+            mine = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in who])
+            sub = np.r_[0, np.cumsum(np.diff(ptr)[who])]
+            allowed = chosen[open_[who]].copy()
+            allowed[:, extra] = True
+            theta, fit = mixture(np.where(np.repeat(allowed, np.diff(sub), axis=0), part[mine], -1e9), sub)
+            up = fit - value[open_[who]] - cost[open_[who]]
+            better = up > gain[who]
+            gain[who[better]], add[who[better]], theta_of[who[better]] = up[better], extra, theta[better]
+        win = np.flatnonzero(add >= 0)
         who = open_[win]
         chosen[who, add[win]] = True
         value[who] += gain[win] + cost[who]
         best[who], share[who] = theta_of[win].argmax(axis=1), theta_of[win].max(axis=1)
-        open_ = who[(chosen[who].sum(axis=1) < k) & (upper[who] - value[who] > cost[who])]
+        for i, row in zip(win, who, strict=True):
+            x = part[ptr[i] : ptr[i + 1]]
+            top = x.max(axis=1)
+            mixed[rows[row] : rows[row + 1]] = np.log(np.maximum(np.exp(x - top[:, None]) @ theta_of[i], 1e-300)) + top
+        open_ = who[chosen[who].sum(axis=1) < k]
     return best, share, chosen.sum(axis=1)
 
 
