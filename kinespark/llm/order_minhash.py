@@ -17,8 +17,9 @@ of the links.
 
 Defined results: rows of equal text share a class; texts without a word (after
 normalising) link to nothing but equal texts; each null text is a class of its own, under
-its row; repeated ids are rows each; the class id is the least id in it; an empty table
-gives an empty table. Other columns are ignored by ``classes`` and kept by ``one_of_each``.
+its row; rows that share an id are one document, in one class; the class id is the least
+id in it; rows without an id link to equal texts only; an empty table gives an empty table.
+Other columns are ignored by ``classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
