@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import clear_of
+from .workspace import clear_of, stored
 
 WINDOW, STEP, BANDS = 10, 5, 24
 SEGMENT = WINDOW - STEP + 1
@@ -64,7 +64,7 @@ def anchors(templates: Mapping[str, str], contained: float = CONTAINED) -> list[
         loose = {k: [p for p in v if not set(p) & set(chosen)] for k, v in pairs.items()}
         loose = {k: v for k, v in loose.items() if len(v) >= max(1, math.ceil(contained * len(pairs[k]) - 1e-9))}
         if not loose:
-            return chosen
+            return [w for w in chosen if not any(v != w and v in w for v in chosen)]  # a text with w has v too
         gain: dict[str, int] = {}
         for v in loose.values():
             for w in {w for p in v for w in p}:
@@ -106,14 +106,20 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: s
     whole, bands = _templates(docs.sparkSession, templates)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     if anchored:
-        low = F.lower("text")
-        may = F.lit(False)
-        for w in anchors(templates, contained):
-            may = may | F.contains(low, F.lit(w))
-        texts = texts.where(may)
+        chosen = anchors(templates, contained)
+
+        def may_match(low: Column) -> Column:
+            found = F.lit(False)
+            for w in chosen:
+                found = found | F.contains(low, F.lit(w))
+            return found
+
+        texts = texts.where(F.exists(F.array(F.lower("text")), may_match))  # in a lambda, so the text is lowered once
+    texts = stored(texts)
     worded = texts.select("id", _words(F.col("text")).alias("words")).where(F.size("words") > 1)
     windows = worded.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 2, F.lit(STEP)), lambda i: F.slice(F.col("words"), i + 1, F.lit(WINDOW)))).alias("w", "window"))
-    probes = windows.select("id", (F.col("w") * STEP).alias("w"), F.posexplode(_bands(_shingles(F.col("window")))).alias("band", "value"))
+    shingled = windows.select("id", (F.col("w") * STEP).alias("w"), _shingles(F.col("window")).alias("shingles"))
+    probes = shingled.select("id", "w", F.posexplode(_bands(F.col("shingles"))).alias("band", "value"))
     hits = probes.join(F.broadcast(bands), ["band", "value"]).select("id", "license", (F.floor(F.greatest(F.col("w") - F.col("offset"), F.lit(0)) / STEP) * STEP).cast("int").alias("word")).distinct()
     near = hits.join(F.broadcast(whole), "license").join(worded.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
     region = _shingles(F.slice(F.col("words"), F.col("word") + 1, F.col("m") + WINDOW))
