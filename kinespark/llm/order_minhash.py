@@ -39,7 +39,6 @@ THRESHOLD = 0.8
 SKETCHES, TAKE, PAIR = 24, 2, 2
 LANES = 96
 HOT, BLOCK = 256, 50_000
-ROUNDS = 40
 
 _DROP = at.SPACE.copy()
 for _c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -368,18 +367,26 @@ def _aligned(threshold: float):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node of the links (a, b): the least node of its component.
 
-    Each node takes the least root around it, then its root's root, until nothing changes; both are joins on a node.
+    Each node hooks to the least node around it, hooks are followed to their ends by doubling, and the links between
+    the ends are the next round's. Every end takes in all nodes around it, so a round halves the nodes that still have
+    links, at least, and rounds go on until no link is left; a component's least node stays an end throughout.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(ROUNDS):
-        near = edges.join(state, edges.b == state.node).groupBy("a").agg(F.min("root").alias("m"))
-        seen = state.join(near, state.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        up = state.select(F.col("node").alias("r"), F.col("root").alias("above"))
-        state = cut(seen.join(up, F.col("root") == F.col("r"), "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
-        if not state.where("old <> root").take(1):
-            break
-    return state.select("node", "root")
+    edges = cut(links.select("a", "b").distinct())
+    state = cut(edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    while edges.where("a <> b").take(1):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        while True:
+            over = up.select(F.col("node").alias("r"), F.col("root").alias("above"))
+            jumped = cut(up.join(over, F.col("root") == F.col("r")).select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")))
+            up = jumped.select("node", "root")
+            if not jumped.where("moved").take(1):
+                break
+        ends = up.select(F.col("node").alias("r"), F.col("root").alias("end"))
+        state = cut(state.join(ends, F.col("root") == F.col("r"), "left").select("node", F.coalesce("end", "root").alias("root")))
+        half = edges.join(ends, F.col("a") == F.col("r")).select(F.col("end").alias("a"), "b")
+        edges = cut(half.join(ends, F.col("b") == F.col("r")).select("a", F.col("end").alias("b")).where("a <> b").distinct())
+    return state
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

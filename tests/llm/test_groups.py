@@ -147,6 +147,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_chains_with_shuffled_ids(spark):
+    rng = np.random.default_rng(13)
+    chains = [[*range(10, 61), 5], *(((k + 1) * 1000 + rng.permutation(size)).tolist() for k, size in enumerate((60,)))]
+    links = spark.createDataFrame([p for c in chains for p in zip(c, c[1:])], "a long, b long")
+    got = {r.node: r.root for r in order_minhash.components(links).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+    assert order_minhash.components(links.limit(0)).count() == 0
+
+
 # -- mixing
 
 
