@@ -207,14 +207,10 @@ def cross_pairs(key: np.ndarray, n: np.ndarray, root: np.ndarray, threshold: flo
             d += 1
 
 
-def _candidates(threshold: float, rooted: bool):
-    """Pairs within runs of equal key; input is sorted by key, n, rep.
-
-    Without roots, each text with its run's leader; what is kept between batches is that leader. With roots, all pairs
-    of different roots; what is kept is the run at a batch's end, whose size ``_blocks`` bounds.
-    """
+def _candidates(threshold: float):
+    """Pairs of different roots within runs of equal key; input is sorted by key, n, rep. Memory is a batch and the run at its end, whose size ``_blocks`` bounds."""
     least = least_alike(threshold)
-    names = ["key", "n", "rep", *(["root"] if rooted else [])]
+    names = ["key", "n", "rep", "root"]
 
     def emit(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rep: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -246,35 +242,29 @@ def _candidates(threshold: float, rooted: bool):
             got = [*(batch.column(c).to_numpy() for c in names), np.frombuffer(at.utf8(batch.column("lanes"))[0], np.uint8).reshape(-1, LANES)]
             if held is not None:
                 got = [np.concatenate([h, g]) for h, g in zip(held, got, strict=True)]
-            if rooted:
-                end = int(np.flatnonzero(got[0] != got[0][-1])[-1]) + 1 if got[0][0] != got[0][-1] else 0
-                held = [g[end:] for g in got]
-                key, n, rep, root, lanes = (g[:end] for g in got)
-                yield from emit(cross_pairs(key, n, root, threshold), rep, lanes)
-            else:
-                key, n, rep, lanes = got
-                leader = leaders(key, n, threshold)
-                item = np.flatnonzero(leader != np.arange(len(leader)))
-                yield from emit(iter([(leader[item], item)]), rep, lanes)
-                held = [g[leader[-1] : leader[-1] + 1] for g in got]
-        if rooted and held is not None:
+            end = int(np.flatnonzero(got[0] != got[0][-1])[-1]) + 1 if got[0][0] != got[0][-1] else 0
+            held = [g[end:] for g in got]
+            key, n, rep, root, lanes = (g[:end] for g in got)
+            yield from emit(cross_pairs(key, n, root, threshold), rep, lanes)
+        if held is not None:
             key, n, rep, root, lanes = held
             yield from emit(cross_pairs(key, n, root, threshold), rep, lanes)
 
     return run
 
 
-def _blocks(rooted: DataFrame) -> DataFrame:
-    """Runs that hold several roots, the long ones cut into blocks of about ``BLOCK`` rows.
+def _blocks(runs: DataFrame) -> DataFrame:
+    """Runs (key, rep, n, size) as cells (key, rep, n, root) so that every pair of a run is one of different roots in just one cell.
 
-    Rows of a run's most frequent root are spread over its blocks and all others are in each block, so every pair of
-    different roots still meets in one.
+    A run of more than ``BLOCK`` rows is dealt to blocks of about ``BLOCK`` by hash; a cell is a block with itself,
+    where each row is its own root, or two blocks, whose rows have the block as root.
     """
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("rows"), F.max_by("root", "m").alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    n = F.ceil(F.col("rows") / BLOCK).cast("int")
-    blocks = F.when(F.col("root") == F.col("top"), F.array(F.pmod(F.xxhash64("rep"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
-    spread = rooted.join(sizes, "key").select("key", "rep", "n", "root", n.alias("blocks"), F.explode(blocks).alias("block"))
-    return spread.select(F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "rep", "n", "root")
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    of = F.pmod(F.xxhash64("rep"), n).cast("int")
+    spread = runs.select("key", "rep", "n", n.alias("blocks"), of.alias("of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    cell = F.xxhash64("key", F.least("of", "other"), F.greatest("of", "other"))
+    root = F.when(F.col("of") == F.col("other"), F.col("rep")).otherwise(F.col("of").cast("long"))
+    return spread.select(F.when(F.col("blocks") > 1, cell).otherwise(F.col("key")).alias("key"), "rep", "n", root.alias("root"))
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -404,9 +394,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Texts (t1, t2, rep: least id, copies) and links between different texts (a, b: reps, distance).
 
-    A group of near copies has as many alike pairs as its square, so not all are aligned. In the first round each text
-    meets the leader of each of its runs. The second takes every candidate pair that the first left in different
-    components: a pair within one is linked already, so the components are those of all candidate pairs.
+    Every candidate pair is aligned, within a group of near copies too: as many as the square of its texts.
     """
     clear_of(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -420,6 +408,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     calm = shared.where(F.col("size") <= HOT).select("key", "rep", "n")
     hot = shared.where(F.col("size") > HOT).select("key", "rep", "n").join(real.select("rep", "keys"), "rep").mapInArrow(_spread_hot, "key long, rep long, n int")
     runs = stored(calm.unionByName(hot))
+    runs = runs.join(runs.groupBy("key").agg(F.count("*").alias("size")), "key")
     lanes = real.select("rep", "lanes")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -431,18 +420,12 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         both = pairs.join(words.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(words.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_aligned(threshold), "a long, b long, distance int"))
 
-    def within(rows: DataFrame, rooted: bool) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_candidates(threshold, rooted), "a long, b long")
-
-    first = verified(within(runs.join(lanes, "rep").select("key", "n", "rep", "lanes"), False))
-    roots = components(first)
-    rooted = runs.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rest = _blocks(rooted).join(lanes, "rep").select("key", "n", "rep", "root", "lanes")
-    return texts, first.unionByName(verified(within(rest, True)))
+    rows = _blocks(runs).join(lanes, "rep").select("key", "n", "rep", "root", "lanes")
+    return texts, verified(rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_candidates(threshold), "a long, b long"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, class_id (least id of the class), text_id (least id of equal texts), n_copies, n_links (aligned links of its text to different texts)."""
+    """Per row: id, class_id (least id of the class), text_id (least id of equal texts), n_copies, n_links (of its text, to different texts)."""
     texts, found = links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     ends = found.select(F.col("a").alias("rep")).unionAll(found.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = components(found).select(F.col("node").alias("rep"), "root")

@@ -156,6 +156,33 @@ def test_components_of_chains_with_shuffled_ids(spark):
     assert order_minhash.components(links.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, block", [(order_minhash.HOT, order_minhash.BLOCK)])
+def test_links_are_all_candidate_pairs_that_align(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(order_minhash, "HOT", hot)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for m in range(24):
+        w = list(base)
+        for k in rng.choice(80, 3 + m % 9, replace=False).tolist():
+            w[k] = f"v{m}x{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [t.encode() for t in texts]
+    keys, lanes = order_minhash.sketches(order_minhash.normal_words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    least = order_minhash.least_alike(0.8)
+    want = [
+        (i, j)
+        for i in range(24)
+        for j in range(i + 1, 24)
+        if (keys[i] == keys[j]).any() and order_minhash._alike(lanes[i : i + 1], lanes[j : j + 1], least)[0] and edit_distance(words(texts[i]), words(texts[j])) <= 16
+    ]
+    assert len(want) > 200
+    ends = Counter(i for p in want for i in p)
+    assert {r.doc_id: r.n_links for r in order_minhash.classes(df).collect()} == {i: ends[i] for i in range(24)}
+
+
 # -- mixing
 
 
