@@ -11,9 +11,9 @@ rest are aligned in a band as wide as the threshold allows and linked if their w
 similarity, 1 - distance / longer length, reaches ``THRESHOLD``.
 
 Equal texts are collapsed first: one row stands for them, so copies are never paired with
-each other. A sketch shared by more than ``HOT`` different texts is split by each of the
-other sketches in turn: alike texts share several. Classes are the connected components
-of the links.
+each other. However many texts share a sketch, all their pairs are candidates; a run of
+more than ``HOT`` texts is dealt to cells. Classes are the connected components of the
+links.
 
 Defined results: rows of equal text share a class; texts without a word (after
 normalising) link to nothing but equal texts; each null text is a class of its own, under
@@ -38,7 +38,7 @@ from .workspace import clear_of, cut, stored
 THRESHOLD = 0.8
 SKETCHES, TAKE, PAIR = 24, 2, 2
 LANES = 96
-HOT, BLOCK = 256, 50_000
+HOT, BLOCK = 20_000, 10_000
 
 _DROP = at.SPACE.copy()
 for _c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -130,17 +130,6 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(rep) for c in ("rep", "n"))], names=["key", "rep", "n"])
 
 
-def _spread_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hot sketch of a text, split by each of its other sketches."""
-    for batch in batches:
-        keys = np.frombuffer(at.utf8(batch.column("keys"))[0], np.uint64).reshape(-1, SKETCHES)
-        hot = batch.column("key").to_numpy().view(np.uint64)
-        sub = at.mix(keys * np.uint64(7) + hot[:, None])
-        use = (keys != hot[:, None]).ravel()
-        rep = pa.array(np.repeat(np.arange(batch.num_rows), SKETCHES)[use])
-        yield pa.RecordBatch.from_arrays([pa.array(sub.ravel()[use].view(np.int64)), *(batch.column(c).take(rep) for c in ("rep", "n"))], names=["key", "rep", "n"])
-
-
 def least_alike(threshold: float) -> float:
     """Share of lanes that two texts at the threshold agree in, less five standard errors: a pair below can be left."""
     lost = PAIR * (1 - threshold)
@@ -256,10 +245,10 @@ def _candidates(threshold: float):
 def _blocks(runs: DataFrame) -> DataFrame:
     """Runs (key, rep, n, size) as cells (key, rep, n, root) so that every pair of a run is one of different roots in just one cell.
 
-    A run of more than ``BLOCK`` rows is dealt to blocks of about ``BLOCK`` by hash; a cell is a block with itself,
+    A run of more than ``HOT`` rows is dealt to blocks of about ``BLOCK`` by hash; a cell is a block with itself,
     where each row is its own root, or two blocks, whose rows have the block as root.
     """
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.when(F.col("size") > HOT, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int")
     of = F.pmod(F.xxhash64("rep"), n).cast("int")
     spread = runs.select("key", "rep", "n", n.alias("blocks"), of.alias("of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     cell = F.xxhash64("key", F.least("of", "other"), F.greatest("of", "other"))
@@ -404,11 +393,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     real = texts.where("n > 0 and rep is not null")
     spread = real.select("rep", "n", "keys").mapInArrow(_spread, "key long, rep long, n int")
     sizes = cut(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = spread.join(sizes, "key")
-    calm = shared.where(F.col("size") <= HOT).select("key", "rep", "n")
-    hot = shared.where(F.col("size") > HOT).select("key", "rep", "n").join(real.select("rep", "keys"), "rep").mapInArrow(_spread_hot, "key long, rep long, n int")
-    runs = stored(calm.unionByName(hot))
-    runs = runs.join(runs.groupBy("key").agg(F.count("*").alias("size")), "key")
+    runs = spread.join(sizes, "key")
     lanes = real.select("rep", "lanes")
 
     def verified(pairs: DataFrame) -> DataFrame:
