@@ -4,9 +4,11 @@ A payload becomes grey frames of 32 x 32 blocks, one block a byte (see ``jpeg``)
 AVI file whose ``strd`` chunk holds the payload's length. Reading walks the RIFF tree,
 takes the frames that the index ``idx1`` lists, decodes each by itself and compares the
 histograms of neighbouring frames. A shot begins where that difference is at least
-``LEAST_JUMP``, no less than at both neighbours, and exceeds the mean of the differences
-within ``AROUND`` frames by ``JUMP`` standard deviations; the frames between two such
-places are a clip. All of this is integer arithmetic, so equal payloads give equal rows.
+``LEAST_JUMP``, no less than at both neighbours, and above the median of the other
+differences within ``AROUND`` frames by at least ``JUMP`` times their deviation, 3/2 of the median
+distance from that median, ``LEAST_JUMP / JUMP`` at least; near the ends of a file zeros
+fill these up to three. The frames between two such places are a clip. What a short last
+frame lacks counts as the frame before it. All of this is integer arithmetic, so equal payloads give equal rows.
 
 Defined results: a null or empty payload is 64 zero bytes, one frame, one clip; payloads
 of any length are coded 512 frames at a time; ``clips`` also reads other AVI files with
@@ -144,9 +146,12 @@ def read(files: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
         s = samples[k : k + BLOCK_FRAMES]
         cell = np.arange(len(s))[:, None] * BINS + (s >> 4)
         hist[k : k + len(s)] = np.bincount(cell[np.arange(per) < real[k : k + len(s), None]], minlength=len(s) * BINS).reshape(-1, BINS)
+    count, hist = hist, hist * LEVELS // np.maximum(1, real)[:, None]
+    tail = np.flatnonzero((real < per) & (np.arange(len(starts)) > rows[owner]))
+    hist[tail] = (count[tail] * LEVELS + (per - real[tail])[:, None] * hist[tail - 1]) // per
     flat = samples.reshape(-1)
     payloads = [flat[rows[i] * per : rows[i] * per + length[i]] for i in range(len(files))]
-    return payloads, rows, hist * LEVELS // np.maximum(1, real)[:, None], parsed[0][2] if parsed else float(FPS)
+    return payloads, rows, hist, parsed[0][2] if parsed else float(FPS)
 
 
 def read_any(file: bytes) -> tuple[np.ndarray, np.ndarray, float]:
@@ -173,14 +178,23 @@ def shots(hist: np.ndarray, rows: np.ndarray) -> np.ndarray:
     jump[rows[:-1]] = 0  # the first frame of a file has no frame before it
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     i = np.arange(n)
-    lo, hi = np.maximum(rows[owner] + 1, i - AROUND), np.minimum(rows[owner + 1], i + AROUND + 1)
-    s, q = np.r_[0, np.cumsum(jump)], np.r_[0, np.cumsum(jump * jump)]
-    lo = np.minimum(lo, hi)
-    m, sm, sq = hi - lo, s[hi] - s[lo], q[hi] - q[lo]
-    above = m * jump - sm
+    first, end = rows[owner] + 1, rows[owner + 1]
+    # the other jumps around each, the missing ones last
+    step = np.r_[-AROUND:0, 1 : AROUND + 1]
+    at_ = i[:, None] + step
+    inside = (at_ >= first[:, None]) & (at_ < end[:, None])
+    most = np.iinfo(np.int64).max
+    others = np.where(inside, jump[np.clip(at_, 0, n - 1)], most)
+    count = np.maximum(3, inside.sum(axis=1))
+    others.sort(axis=1)
+    blank = np.arange(2 * AROUND) < count[:, None]
+    others = np.sort(np.where(blank & (others == most), 0, others), axis=1)
+    mid = others[i, (count - 1) // 2]
+    apart = np.sort(np.where(blank, np.abs(others - mid[:, None]), most), axis=1)
+    twice = np.maximum(3 * apart[i, (count - 1) // 2], 2 * LEAST_JUMP // JUMP)  # two deviations
     left, right = np.r_[0, jump[:-1]], np.r_[jump[1:], 0]
     right[rows[1:] - 1] = 0
-    begins = (jump >= LEAST_JUMP) & (jump >= left) & (jump >= right) & (above > 0) & (above * above > JUMP * JUMP * (m * sq - sm * sm))
+    begins = (jump >= LEAST_JUMP) & (jump >= left) & (jump >= right) & (2 * (jump - mid) >= JUMP * twice)
     begins[rows[:-1]] = True
     return begins
 

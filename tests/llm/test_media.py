@@ -186,6 +186,24 @@ def test_clips_of_foreign_video(spark):
     assert [(c.first_frame, c.n_frames) for c in avi_mjpeg.clips(df).sort("clip").collect()] == [(0, 6), (6, 5)]
 
 
+@pytest.mark.parametrize("n, cuts", [(2, [1]), (3, [1, 2]), (6, [3]), (20, [1]), (20, [2]), (20, [18]), (20, [19]), (20, [9, 10]), (20, [9, 11]), (20, [9, 12]), (20, [])])
+def test_cuts_near_the_ends_in_short_files_and_close_together(n, cuts):
+    hist = np.zeros((n, avi_mjpeg.BINS), np.int64)
+    scene = np.searchsorted(cuts, np.arange(n), side="right")
+    hist[np.arange(n), scene] = avi_mjpeg.LEVELS
+    two = np.concatenate([hist, hist])  # files beside each other don't mix
+    begins = avi_mjpeg.shots(two, np.array([0, n, 2 * n]))
+    assert np.flatnonzero(begins[:n]).tolist() == [0, *cuts] and (begins[:n] == begins[n:]).all()
+
+
+def test_short_last_frame_of_one_scene_is_no_cut():
+    rng = np.random.default_rng(3)
+    for size in (1088, 1152, 5 * 1024 + 64):
+        raw = rng.integers(97, 123, size).astype(np.uint8)
+        _, rows, hist, _ = avi_mjpeg.read(avi_mjpeg.store(raw, np.array([0, size])))
+        assert avi_mjpeg.shots(hist, rows).sum() == 1
+
+
 # -- SentencePiece
 
 TOY = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in [("▁", -5.0), ("▁a", -2.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0), ("▁ab", -6.5), ("ba", -5.9), ("▁▁", -7.0), ("aab", -8.0), ("é", -3.5)])]
