@@ -20,8 +20,8 @@ CHUNK_BYTES = 1 << 21
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE = np.random.RandomState(20240229).randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
+_BYTES = [np.random.RandomState(seed).randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240229, 20250301)]
+_BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F)
 
 
 class _Powers:
@@ -41,7 +41,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_CHAR_POWERS = _Powers(_BASE)
+_CHAR_POWERS = [_Powers(b) for b in _BASES]
 _WINDOW_POWERS = (_Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5))
 
 
@@ -97,11 +97,11 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, a function of its bytes only."""
-        up, down = _CHAR_POWERS.get(len(self.raw) + 1)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, a function of its bytes only; the two lanes have nothing in common."""
+        up, down = _CHAR_POWERS[lane].get(len(self.raw) + 1)
         sums = np.zeros(len(self.raw) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.raw] * up[:-1], out=sums[1:])
+        np.cumsum(_BYTES[lane][self.raw] * up[:-1], out=sums[1:])
         h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

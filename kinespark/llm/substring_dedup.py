@@ -9,13 +9,17 @@ Instead, shorter windows are hashed only at positions whose remainder modulo a p
 in a difference cover: for any two positions there is a shift below the period that puts
 both on the cover, so two equal long windows always share an anchor at equal offsets.
 Anchors that occur once are dropped in one exchange; around the rest the match is
-extended, by comparing 80-bit fingerprints of the whole windows, in a second one. A hash
-that repeats inside a task's batch is settled there and sent on once, so a passage that a
-third of all rows share costs one entry a batch, not one a row, in the task of its hash.
+extended to whole windows in a second one. Windows are held equal if two fingerprints agree,
+of 64 and 32 bits, over word hashes that are made from the bytes independently. A hash that
+repeats inside a task's batch is settled there and sent on once, so a passage that a third
+of all rows share costs one entry a batch, not one a row, in the task of its hash. The hash
+space is cut into parts by the bytes of the texts, so what a task holds of it doesn't grow.
 
 Defined results: null and empty texts have no words and lose none; rows that are repeated
-as a whole count as two places; null ids are kept; an empty table gives an empty table.
-Other columns of the input are ignored by ``judge`` and kept by ``without_repeats``.
+as a whole count as two places; of a passage's places none is kept, so there are no ties;
+ids may be of any type, may be null and may repeat; a text of any length is read whole; an
+empty table gives an empty table. Other columns, whatever their names, are ignored by
+``judge`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -26,16 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import clear_of, row_groups, stored
+from .workspace import clear_of, groups_for, named, packed, stored
 
 WINDOW = 35
 #: Perfect difference sets: each remainder is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-ROWS_A_GROUP = 12_000
+BYTES_A_PART = 8 << 20
 _FLUSH = 600_000
 _BLOB = "part int, known boolean, a binary, b binary, place binary, per binary, k1 binary, k2 binary"
 
@@ -49,12 +53,14 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     return best
 
 
+def _key(ident: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text."""
+    return F.xxhash64(F.lit(3), ident, text), F.xxhash64(ident, text)
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("k2"),
-        F.col(text_col).alias("text"),
-    )
+    k1, k2 = _key(named(id_col), named(text_col))
+    return df.select(named(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), named(text_col).alias("text"))
 
 
 class _Blobs:
@@ -122,11 +128,17 @@ def _column(table: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in table.column(name).to_pylist()] or [np.zeros(0, dtype)])
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one part: rows and places of hashes that occur more than once, and those known to from their batch."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, a partition: rows and places of hashes that occur more than once, and those known to from their batch."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        yield from _of_part(pa.Table.from_batches(held)).to_batches()
+
+
+def _of_part(table: pa.Table) -> pa.Table:
     known = table.filter(table.column("known"))
     table = table.filter(pc.invert(table.column("known")))
-    twice, _ = _repeats(_column(table, "a", np.uint64), _column(table, "b", np.uint16))
+    twice, _ = _repeats(_column(table, "a", np.uint64), _column(table, "b", np.uint32))
     found = [_places(known, None), _places(table, twice)]
     return pa.concat_tables(found)
 
@@ -161,7 +173,7 @@ def _anchors(parts: int, period: int, cover: tuple[int, ...], length: int):
             place = np.arange(n) - words.rows[:-1][row]
             take = np.flatnonzero(on[place[: n - length + 1] % period] & at.inside(words.rows, length))
             h = at.window_hashes(words.hashes(), length)[take]
-            yield from blobs.add(h, np.zeros(0, np.uint16), row[take], place[take], *(batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")))
+            yield from blobs.add(h, np.zeros(0, np.uint32), row[take], place[take], *(batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")))
         yield from blobs.flush()
 
     return run
@@ -191,7 +203,7 @@ def _extended(parts: int, window: int, period: int):
             h = words.hashes()
             row = words.row_of()[take]
             place = take - words.rows[:-1][row]
-            second = at.window_hashes(h, window, 1)[take].astype(np.uint16)
+            second = at.window_hashes(words.hashes(1), window, 1)[take].astype(np.uint32)
             yield from blobs.add(at.window_hashes(h, window)[take], second, row, place, *(batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")))
         yield from blobs.flush()
 
@@ -262,13 +274,13 @@ def _removed(window: int, with_text: bool):
 def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, with_text: bool) -> DataFrame:
     """k1, k2, n_removed and what is left (text or digest) of each row that has a repeated window."""
     period, cover, length = cover_for(window)
-    parts = row_groups(docs, ROWS_A_GROUP, 12)
+    parts = groups_for(docs, text_col, BYTES_A_PART, 12)
     keyed = _keyed(docs, id_col, text_col)
     hit = "k1 long, k2 long, place binary"
-    anchors = keyed.mapInArrow(_anchors(parts, period, cover, length), _BLOB).groupBy("part").applyInArrow(_shared, hit)
+    anchors = keyed.mapInArrow(_anchors(parts, period, cover, length), _BLOB).repartitionById(parts, F.col("part")).mapInArrow(_shared, hit)
     anchors = anchors.groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     near = stored(keyed.join(anchors, ["k1", "k2"]))
-    windows = near.mapInArrow(_extended(parts, window, period), _BLOB).groupBy("part").applyInArrow(_shared, hit)
+    windows = near.mapInArrow(_extended(parts, window, period), _BLOB).repartitionById(parts, F.col("part")).mapInArrow(_shared, hit)
     windows = windows.groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     out = near.drop("places").join(windows, ["k1", "k2"]).mapInArrow(_removed(window, with_text), "k1 long, k2 long, n_removed long, left string")
     return out.dropDuplicates(["k1", "k2"])
@@ -278,7 +290,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """Per row: id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space)."""
     clear_of(docs, id_col, text_col)
     changed = _changed(docs, id_col, text_col, window, with_text=False)
-    whole = _keyed(docs, id_col, text_col).withColumn("id", F.when(F.col("k1") != -(2**63), F.col("k1"))).mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = _keyed(docs, id_col, text_col).mapInArrow(_whole, f"doc_id {kind}, k1 long, k2 long, n_words long, whole_sha256 string")
     return whole.join(changed, ["k1", "k2"], "left").select(
         F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("left", "whole_sha256").alias("kept_sha256")
     )
@@ -288,7 +301,20 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All rows and columns of ``docs``; the text loses repeated passages, white space between other words stays."""
     clear_of(docs, id_col, text_col)
     changed = _changed(docs, id_col, text_col, window, with_text=True)
-    mine = changed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("left").alias("__left"))
-    keyed = docs.withColumns({"__i": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(F.col(id_col), F.col(text_col))})
-    joined = keyed.join(mine, (F.col("__i") == F.col("__k1")) & (F.col("__h") == F.col("__k2")), "left")
-    return joined.withColumn(text_col, F.coalesce("__left", F.col(text_col))).select(*docs.columns)
+    row = lambda c: F.col("row").getField(c)
+    k1, k2 = _key(row(id_col), row(text_col))
+    joined = packed(docs).withColumns({"k1": k1, "k2": k2}).join(changed, ["k1", "k2"], "left")
+    return joined.select(*((F.coalesce("left", row(c)) if c == text_col else row(c)).alias(c) for c in docs.columns))
+
+
+#: DuckDB, for ``judge`` with the default window.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT row, unnest(range(1, len(w) - {WINDOW} + 2)) AS i, w FROM d),
+k AS (SELECT row, i, array_to_string(w[i : i + {WINDOW} - 1], ' ') AS words FROM s),
+r AS (SELECT words FROM k GROUP BY words HAVING count(*) > 1),
+g AS (SELECT DISTINCT row, unnest(range(i, i + {WINDOW})) AS i FROM k JOIN r USING (words)),
+p AS (SELECT row, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+t AS (SELECT p.row, count(g.i) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL), '') AS kept FROM p LEFT JOIN g ON p.row = g.row AND p.i = g.i GROUP BY p.row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (row)
+"""
