@@ -3,17 +3,23 @@
 A group is the rows of equal text; its demand is a vector of bytes, words and rows.
 Groups go, largest first, to the shard where the dot product of their demand with the
 shard's residual capacity is highest, among the shards that still hold its bytes. Placing
-every group one by one on the driver would not scale, so what is placed is bounded: groups over 1/64 of a shard in some dimension are
-placed by themselves (there can be no more than 3 * 64 * shards of them), all others ride
-in ``BUNDLES_A_SHARD * shards`` hash bundles of whole groups. A group above a quarter of a
-shard is split into pieces by row hash, as it can't be balanced otherwise.
+every group one by one on the driver would not scale, so what is placed is bounded: groups
+over 1/64 of a shard in some dimension are placed by themselves (there can be no more than
+3 * 64 * shards of them), all others ride in ``BUNDLES_A_SHARD * shards`` hash bundles of
+whole groups, each bundle an item with the summed demand of its groups.
+
+A group stays in one shard unless its bytes exceed a whole shard's share, where near-equal
+sizes and one shard a group exclude each other. Only such a group is cut, by row hash, into
+pieces of at most about a quarter of a shard; it has at least 4 pieces.
 
 Slots count from 0 without gaps: rows are numbered inside hash parts of a shard, and each
 part starts where the parts before it end, so no task holds a whole shard.
 
-Defined results: a null text has size 8, crc32 0 and is a group apart from empty texts;
-repeated ids get a slot each; ties break by row hash and id; an empty table gives an empty
-table; ``law`` is ``bytes`` and ``grown_shard`` is null. Other columns are ignored.
+Defined results: a null text has size 8, crc32 0 and is a group apart from empty texts; ids
+may be of any type that sorts, may be null and may repeat, with a slot for each row; a text
+of any length is read whole; ties go to the shard of the lowest number and, for slots, by id
+and crc32; an empty table gives an empty table; ``law`` is ``bytes`` and ``grown_shard`` is
+null. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import clear_of, stored
+from .workspace import clear_of, named, stored
 
 SHARDS = 24
 BUNDLES_A_SHARD = 256
-BIG, SPLIT = 1 / 64, 1 / 4  # of a shard's capacity
+BIG, WHOLE, PIECE = 1 / 64, 1.0, 1 / 4  # of a shard's capacity
 ROWS_A_PART = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 _DIMS = ("bytes", "words", "rows")
@@ -59,16 +65,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text
     """Per row: id, size, text_crc32, law, shard, slot, grown_shard."""
     clear_of(docs, id_col, text_col)
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.col(text_col).isNull()
+    mine = named(text_col)
+    text = F.coalesce(mine, F.lit(""))
+    none = mine.isNull()
     base = stored(
         docs.select(
-            F.col(id_col).cast("long").alias("id"),
+            named(id_col).alias("id"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
             F.crc32(text.cast("binary")).alias("crc"),
-            F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text_col))).alias("g1"),
-            F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(7), F.col(text_col))).alias("g2"),
+            F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(mine)).alias("g1"),
+            F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(7), mine)).alias("g2"),
         )
     )
     sums = [F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows")]
@@ -77,7 +84,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text
     n_bundles = shards * BUNDLES_A_SHARD
     share = F.greatest(*(F.col(d) / F.lit(capacity[d]) for d in _DIMS))
     groups = base.groupBy("g1", "g2").agg(*sums).withColumn("share", share)
-    big = [tuple(r) for r in groups.where(F.col("share") > BIG).select("g1", "g2", F.when(F.col("share") > SPLIT, F.ceil(F.col("share") / SPLIT)).otherwise(1).cast("int").alias("pieces")).sort("g1", "g2").collect()]
+    big = [tuple(r) for r in groups.where(F.col("share") > BIG).select("g1", "g2", F.when(F.col("bytes") > F.lit(WHOLE * capacity["bytes"]), F.ceil(F.col("bytes") / F.lit(PIECE * capacity["bytes"]))).otherwise(1).cast("int").alias("pieces")).sort("g1", "g2").collect()]
     bigs = F.broadcast(_local(spark, big, ["g1", "g2", "pieces"], [pa.int64(), pa.int64(), pa.int32()]))
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", "g1"), F.col("pieces")).cast("int")).otherwise(F.lit(-1))
     bundle = F.pmod(F.col("g1"), F.lit(n_bundles)).cast("int")
