@@ -11,8 +11,11 @@ fill these up to three. The frames between two such places are a clip. What a sh
 frame lacks counts as the frame before it. All of this is integer arithmetic, so equal payloads give equal rows.
 
 Defined results: a null or empty payload is 64 zero bytes, one frame, one clip; payloads
-of any length are coded 512 frames at a time; ``clips`` also reads other AVI files with
-baseline frames; a file that isn't one raises ``AviError`` or ``JpegError``; an empty table gives an empty table; other columns are ignored.
+of any length are coded 512 frames at a time; equal jumps beside each other both count;
+repeated rows get equal results; ``clips`` also reads other AVI files with baseline frames,
+gives a null medium no row, and a file that it can't read (empty, cut off, no AVI, no index,
+no baseline JPEG) one row without a clip that names the ``error``; an empty table gives an
+empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from . import jpeg
-from .workspace import clear_of
+from .workspace import clear_of, named
 
 UNIT = 64
 FPS = 25
@@ -231,7 +233,22 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(store(raw, offsets), pa.binary())], names=["doc", "media"])
 
 
+def _clips_of(media: bytes) -> tuple[np.ndarray, int, float]:
+    """First frame of each clip, number of frames, frames a second; ``AviError`` for what isn't such a file."""
+    try:
+        try:
+            _, rows, hist, fps = read([media])
+        except jpeg.JpegError:
+            rows, hist, fps = read_any(media)
+    except (ValueError, IndexError, KeyError, struct.error, OverflowError, RecursionError, MemoryError) as err:
+        raise AviError(f"{type(err).__name__}: {err}") from err
+    if not len(hist) or not fps:
+        raise AviError("no frames or no rate")
+    return np.flatnonzero(shots(hist, rows)), len(hist), fps
+
+
 def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc", "clip", "first_frame", "n_frames", "start_s", "end_s", "error"]
     for batch in batches:
         for k in range(batch.num_rows):
             one = batch.slice(k, 1)
@@ -239,14 +256,14 @@ def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if media is None:
                 continue
             try:
-                _, rows, hist, fps = read([media])
-            except jpeg.JpegError:
-                rows, hist, fps = read_any(media)
-            first = np.flatnonzero(shots(hist, rows))
-            last = np.r_[first[1:], len(hist)]
+                first, n, fps = _clips_of(media)
+            except AviError as err:
+                yield pa.RecordBatch.from_arrays([one.column("doc"), *(pa.nulls(1, pa.int32()) for _ in range(3)), *(pa.nulls(1, pa.float64()) for _ in range(2)), pa.array([str(err)])], names=names)
+                continue
+            last = np.r_[first[1:], n]
             yield pa.RecordBatch.from_arrays(
-                [one.column("doc").take(pa.array(np.zeros(len(first), np.int64))), *(pa.array(x, pa.int32()) for x in (np.arange(len(first)), first, last - first)), pa.array(first / fps), pa.array(last / fps)],
-                names=["doc", "clip", "first_frame", "n_frames", "start_s", "end_s"],
+                [one.column("doc").take(pa.array(np.zeros(len(first), np.int64))), *(pa.array(x, pa.int32()) for x in (np.arange(len(first)), first, last - first)), pa.array(first / fps), pa.array(last / fps), pa.nulls(len(first), pa.string())],
+                names=names,
             )
 
 
@@ -257,18 +274,18 @@ def _kind(docs: DataFrame, id_col: str) -> str:
 def media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and its text as the bytes of an AVI file."""
     clear_of(docs, id_col, text_col)
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_stored, f"doc {_kind(docs, id_col)}, media binary").withColumnRenamed("doc", id_col)
+    return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_stored, f"doc {_kind(docs, id_col)}, media binary").withColumnRenamed("doc", id_col)
 
 
 def clips(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Per clip of an AVI column: id, clip, first_frame, n_frames, start_s, end_s; null media has none."""
+    """Per clip of an AVI column: id, clip, first_frame, n_frames, start_s, end_s, error; a bad file has one row with its error, null media none."""
     clear_of(stored, id_col, media_col)
-    schema = f"doc {_kind(stored, id_col)}, clip int, first_frame int, n_frames int, start_s double, end_s double"
-    return stored.select(F.col(id_col).alias("doc"), F.col(media_col).alias("media")).mapInArrow(_clipped, schema).withColumnRenamed("doc", id_col)
+    schema = f"doc {_kind(stored, id_col)}, clip int, first_frame int, n_frames int, start_s double, end_s double, error string"
+    return stored.select(named(id_col).alias("doc"), named(media_col).alias("media")).mapInArrow(_clipped, schema).withColumnRenamed("doc", id_col)
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row, from its stored form as read back: sizes, digests, and the clips as a feature."""
     clear_of(docs, id_col, text_col)
     schema = f"doc {_kind(docs, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_digests, schema).withColumnRenamed("doc", id_col)
+    return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_digests, schema).withColumnRenamed("doc", id_col)

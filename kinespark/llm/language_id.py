@@ -6,14 +6,16 @@ document is a mixture: each word comes from one language, drawn with the documen
 proportions. Expectation-maximisation estimates the proportions; the set of languages is
 grown from the best single one while the penalised log likelihood rises, where each
 further language costs ``PENALTY`` and half the log of the number of words. The prediction
-is the language with the largest proportion, the score is that proportion.
+is the language with the largest proportion, the score is that proportion. The model is
+``BUCKETS`` numbers a language, broadcast once.
 
 Training sees text and language of documents whose crc32(id) modulo ``FOLDS`` isn't
 ``HELD_OUT``; language, source and id take no part in a prediction.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every
 text if no document can be learned from; ties go to the language that sorts first; repeated
-rows get equal results; an empty table gives an empty table; other columns are ignored.
+rows get equal results; a text of any length is read whole; an empty table gives an empty
+table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import clear_of
+from .workspace import clear_of, named
 
 FOLDS, HELD_OUT = 3, 1
 BUCKETS = 1 << 16
@@ -83,9 +85,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row = langs.indices.to_numpy(zero_copy_only=False)
         names = langs.dictionary.to_pylist()
         lang = np.repeat(of_row[words.row_of()], np.diff(ptr)) if len(words.starts) else np.zeros(0, np.int64)
-        got = np.bincount(lang.astype(np.int64) * BUCKETS + codes, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS) if len(names) else []
-        for name, c in zip(names, got, strict=True):
-            total[name] = total.get(name, 0) + c
+        for k, name in enumerate(names):
+            total[name] = total.get(name, 0) + np.bincount(codes[lang == k], minlength=BUCKETS)
     for name, c in total.items():
         at_ = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at_), pa.string()), pa.array(at_, pa.int32()), pa.array(c[at_], pa.int64())], names=["lang", "bucket", "n"])
@@ -94,8 +95,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities (bucket, language). What comes to the driver is at most ``BUCKETS`` counts a language."""
     clear_of(docs, id_col, text_col, lang_col)
-    learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(F.col(id_col)), F.lit(False)))
-    rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    learn = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull() & ~F.coalesce(held_out(named(id_col)), F.lit(False)))
+    rows = learn.select(named(lang_col).cast("string").alias("lang"), named(text_col).alias("text")).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -173,10 +174,10 @@ def identify(like: np.ndarray, rows: np.ndarray, penalty: float = PENALTY) -> tu
     return best, share, chosen.sum(axis=1)
 
 
-def _predictions(langs: list[str], table: np.ndarray, penalty: float):
-    names = np.array([*langs, "und"], dtype=object)
-
+def _predictions(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, table = model.value
+        names = np.array([*langs, "und"], dtype=object)
         for batch, raw, offsets in at.each_text(batches):
             words = at.split(raw, offsets)
             codes, ptr = trigrams(raw, words)
@@ -198,7 +199,7 @@ def _predictions(langs: list[str], table: np.ndarray, penalty: float):
 def predict(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY) -> DataFrame:
     """Per row: id, held_out, lang_pred, score and the number of languages found."""
     langs, table = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    table = np.asfortranarray(table)
+    model = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(table)))
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = docs.select(F.col(id_col).alias("doc"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return asked.mapInArrow(_predictions(langs, table, penalty), f"doc {kind}, held_out boolean, lang_pred string, score double, n_langs int").withColumnRenamed("doc", id_col)
+    asked = docs.select(named(id_col).alias("doc"), F.coalesce(held_out(named(id_col)), F.lit(False)).alias("held_out"), named(text_col).alias("text"))
+    return asked.mapInArrow(_predictions(model, penalty), f"doc {kind}, held_out boolean, lang_pred string, score double, n_langs int").withColumnRenamed("doc", id_col)

@@ -7,18 +7,25 @@ document stays if at least ``CONTENT_SHARE`` of its word characters lie in conte
 and no base rule rejects it.
 
 The weights are the maximum a posteriori ones for labelled documents: each line takes its
-document's label, the prior is a Gaussian around the hand-set ``PRIOR``. The sample is at
-most ``TRAIN_DOCS`` documents of each label, in hash order, of at most ``TRAIN_LINES``
-lines each; scoring covers every line of every document. Decoding and training run over
-all chains at once, line by line.
+document's label, the prior is a Gaussian around the hand-set ``PRIOR``. Labels within a
+document never change, so a chain trained on documents as they are would learn that they
+can't; half of the sample is therefore joined in pairs of unlike labels, in either order.
+The sample is a bounded number of labelled rows: at most ``TRAIN_DOCS`` documents of each
+label, in hash order; one of more than ``TRAIN_LINES`` lines is left out of it as a whole.
+Scoring covers every line of every document. Decoding and training run over all chains at
+once, line by line.
 
 Defined results: a null or empty text has no words, fails the base rules and goes; lines
-without a word are no nodes; with no usable labels the weights are the prior's; repeated
-rows get equal results; an empty table gives an empty table; other columns are ignored.
+without a word are no nodes; of labellings of equal score, the one that ends in boilerplate;
+a content share equal to the threshold keeps; with labels of one kind only, or none, the
+weights are the prior's; a document labelled several times takes its least label; repeated
+rows get equal results; a text of any length is read whole; an empty table gives an empty
+table; other columns, whatever their names, are ignored by ``judge`` and kept by ``passing``.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import clear_of
+from .workspace import clear_of, named
 
 CONTENT_SHARE = 0.5
-TRAIN_DOCS, TRAIN_LINES, TRAIN_STEPS = 1000, 64, 160
+TRAIN_DOCS, TRAIN_LINES, TRAIN_STEPS = 1000, 512, 160
 MIN_WORDS, MOST_REPEATED = 10, 20  # of 100 words
 
 FEATURES = ("bias", "symbols", "some_symbols", "bars", "upper", "exclaimed", "digits", "repeated", "equal_line", "short", "sentence", "few_kinds")
@@ -230,23 +237,37 @@ def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = TRAIN_STEPS
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, offsets in at.each_text(batches):
         got = lines_of(raw, offsets)
-        blobs = [got.features[i : min(j, i + TRAIN_LINES)].tobytes() for i, j in zip(got.rows[:-1], got.rows[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("quality"), pa.array(blobs, pa.binary())], names=["doc", "quality", "lines"])
+        take = np.flatnonzero((np.diff(got.rows) > 0) & (np.diff(got.rows) <= TRAIN_LINES))
+        blobs = [got.features[got.rows[i] : got.rows[i + 1]].astype(np.float16).tobytes() for i in take]
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(take)), batch.column("quality").take(pa.array(take)), pa.array(blobs, pa.binary())], names=["doc", "quality", "lines"])
+
+
+def chains(good: list[np.ndarray], bad: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training lines, labels and chains: of each two documents of a label one stands alone, the other is joined with one of the other label."""
+    parts: list[list[tuple[np.ndarray, int]]] = [[(x, y)] for label, y in ((good, 1), (bad, 0)) for x in label[::2]]
+    pairs = list(zip(good[1::2], bad[1::2], strict=False))
+    parts += [[(g, 1), (b, 0)] if k % 2 else [(b, 0), (g, 1)] for k, (g, b) in enumerate(pairs)]
+    parts += [[(x, y)] for label, y in ((good, 1), (bad, 0)) for x in label[1::2][len(pairs) :]]
+    if not parts:
+        return np.zeros((0, _N)), np.zeros(0), np.zeros(1, np.int64)
+    x = np.concatenate([x for p in parts for x, _ in p])
+    y = np.concatenate([np.full(len(x), y) for p in parts for x, y in p])
+    return x, y, np.r_[0, np.cumsum([sum(len(x) for x, _ in p) for p in parts])]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> np.ndarray:
     """CRF weights from at most ``train_docs`` labelled documents of each label."""
     clear_of(labels, id_col, label_col)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg((F.min(label_col) > 0).cast("int").alias("quality"))
+    ident, label = named(id_col), named(label_col)
+    known = labels.where(ident.isNotNull() & label.isNotNull()).groupBy(ident.alias("doc")).agg((F.min(label) > 0).cast("int").alias("quality"))
     order = [F.xxhash64("doc"), F.col("doc")]
     sample = known.where("quality = 1").sort(*order).limit(train_docs).unionByName(known.where("quality = 0").sort(*order).limit(train_docs))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc")
-    got = sorted(texts.mapInArrow(_train_rows, f"doc {docs.schema[id_col].dataType.simpleString()}, quality int, lines binary").collect(), key=lambda r: (r.doc, r.lines))
-    blocks = [np.frombuffer(r.lines, np.float32).reshape(-1, _N) for r in got]
-    blocks_y = [np.full(len(b), r.quality) for b, r in zip(blocks, got, strict=True)]
-    if not blocks:
-        return PRIOR.copy()
-    return fit(np.concatenate(blocks), np.concatenate(blocks_y), np.r_[0, np.cumsum([len(b) for b in blocks])])
+    # an id that repeats takes one of its texts, so that the sample stays bounded
+    texts = docs.select(ident.alias("doc"), named(text_col).alias("text")).join(F.broadcast(sample), "doc")
+    rows = texts.mapInArrow(_train_rows, f"doc {docs.schema[id_col].dataType.simpleString()}, quality int, lines binary").groupBy("doc", "quality").agg(F.min("lines").alias("lines"))
+    got = sorted(rows.collect(), key=lambda r: (zlib.crc32(r.lines), r.lines))
+    blocks = [[np.frombuffer(r.lines, np.float16).astype(np.float32).reshape(-1, _N) for r in got if r.quality == y] for y in (1, 0)]
+    return fit(*chains(*blocks))
 
 
 def _verdicts(theta: np.ndarray, share: float):
@@ -273,7 +294,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     theta = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col) if theta is None else theta
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_share double"
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_verdicts(theta, share), schema).withColumnRenamed("doc", id_col)
+    return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_verdicts(theta, share), schema).withColumnRenamed("doc", id_col)
 
 
 def _passing(theta: np.ndarray, share: float, text_col: str):

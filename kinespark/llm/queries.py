@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import avi_mjpeg, language_id, license_scan, mixing, order_minhash, quality_crf, sentencepiece_codec, sharding, substring_dedup, url_filter
 
 
+#: Vocabulary of ``op2_sentencepiece``, an argument of it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,8 +21,8 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model=model)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }

@@ -12,8 +12,10 @@ Encoding is lossless: pieces mark a space as U+2581, the text keeps its own char
 a literal U+2581 goes to bytes and decoding gives back the exact text.
 
 Defined results: a null text has null ids and no pieces; an empty text has no pieces;
-parts of any length are read in one pass with memory in proportion to the part; repeated
-rows get equal results; an empty table gives an empty table; other columns are ignored.
+parts of any length are read in one pass with memory in proportion to the part; of
+segmentations of equal score, the one whose last piece is longer; repeated rows get equal
+results; an empty table gives an empty table; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import clear_of
+from .workspace import clear_of, named
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 120_000  # parts, twice, per worker
 LONGEST_REMEMBERED = 48
 UNKNOWN_COST = 10
@@ -66,7 +67,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield tag >> 3, value
 
 
-def load(path: str = MODEL) -> list[tuple[str, float, int]]:
+def load(path: str) -> list[tuple[str, float, int]]:
     """(piece, score, kind) by id, from a model file."""
     out = []
     for field, value in _fields(open(path, "rb").read()):
@@ -196,15 +197,15 @@ def _encoded(vocabulary):
     return run
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, *, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_pieces, ids, and whether decoding them gives the text back."""
     clear_of(docs, id_col, text_col)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_encoded(vocabulary), f"doc {kind}, n_pieces long, ids array<int>, round_trip boolean").withColumnRenamed("doc", id_col)
+    return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_encoded(vocabulary), f"doc {kind}, n_pieces long, ids array<int>, round_trip boolean").withColumnRenamed("doc", id_col)
 
 
-def decode(encoded: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, *, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: id and text; null ids give a null text."""
     clear_of(encoded, id_col, ids_col)
     vocabulary = encoded.sparkSession.sparkContext.broadcast(load(model))
@@ -217,4 +218,4 @@ def decode(encoded: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", id
             texts = [None if x is None else codec.decode(array("i", x).tobytes()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    return encoded.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc {kind}, text string").withColumnRenamed("doc", id_col)
+    return encoded.select(named(id_col).alias("doc"), named(ids_col).alias("ids")).mapInArrow(run, f"doc {kind}, text string").withColumnRenamed("doc", id_col)

@@ -5,11 +5,14 @@ one bit of each word set per listed URL. A page probes the single block its URL
 pages that miss any bit are not listed. The rest are joined with the list itself by exact
 canonical URL, which removes the filter's false positives, so the verdict is exact.
 The filter is broadcast only while its counted blocks stay under ``BROADCAST_BLOCKS``;
-a longer list is probed through a shuffle on the block number.
+a longer list is probed through a shuffle on the block number. The join is by hash while a
+partition of the list stays under ``BUILD_ROWS``, beyond that by sorting, which can spill.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule,
-is never listed and is allowed; the same rows of the list may repeat; repeated pages get
-equal verdicts; an empty list blocks nothing; other columns are ignored.
+is never listed and is allowed; of rules of equal length that fit, the last given counts;
+the same rows of the list may repeat; repeated pages get equal verdicts; urls of any length
+are read whole; an empty list blocks nothing and an empty table gives an empty table; ids
+may be of any type, null or shared; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import clear_of
+from .workspace import clear_of, named, stored
 
 #: (verdict, host, path prefix)
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -31,6 +34,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 BITS_A_URL = 16
 BROADCAST_BLOCKS = 200_000  # of 72 bytes: 14 MB
+BUILD_ROWS = 500_000
 _WORDS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -79,27 +83,32 @@ def judge(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_c
     """Per page: id, host, path, rule, verdict, and whether its canonical URL is listed."""
     clear_of(pages, id_col, url_col)
     clear_of(listed, listed_col)
-    keys = listed.select(canonical(F.col(listed_col)).alias("key")).where("key is not null").distinct()
-    blocks = max(1, -(-keys.count() * BITS_A_URL // (64 * _WORDS)))
+    keys = stored(listed.select(canonical(named(listed_col)).alias("key")).where("key is not null").distinct())
+    many = keys.count()
+    blocks = max(1, -(-many * BITS_A_URL // (64 * _WORDS)))
     probe = bloom(keys, blocks)
     if blocks <= BROADCAST_BLOCKS:
         probe = F.broadcast(probe)
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
+    url = named(url_col)
     seen = (
-        pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"))
-        .select("__id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), canonical(F.col("__url")).alias("key"))
-        .withColumns({"rule": rule, "says": says, "at": F.pmod(F.xxhash64("key"), F.lit(blocks))})
+        pages.select(named(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"), F.xxhash64(url, named(id_col)).alias("spread"))
+        # a url without a key is in no block: it goes anywhere
+        .withColumns({"rule": rule, "says": says, "at": F.pmod(F.when(F.col("key").isNull(), F.col("spread")).otherwise(F.xxhash64("key")), F.lit(blocks))})
     )
     bits = [F.coalesce(F.col("key").isNotNull() & (F.call_function("shiftright", F.col(f"w{i}"), _bit(F.col("key"), i)).bitwiseAND(F.lit(1).cast("long")) == 1), F.lit(False)) for i in range(_WORDS)]
     hit = bits[0]
     for b in bits[1:]:
         hit = hit & b
-    marked = seen.join(probe, F.col("at") == F.col("block"), "left").withColumn("hit", hit)
-    exact = marked.where("hit").join(keys.withColumns({"found": F.lit(True)}).hint("shuffle_hash"), "key", "left")
-    names = ["__id", "host", "path", "rule", "says"]
-    both = exact.select(*names, F.coalesce("found", F.lit(False)).alias("listed")).unionByName(marked.where("not hit").select(*names, F.lit(False).alias("listed")))
+    names = ["id", "host", "path", "rule", "says"]
+    marked = stored(seen.join(probe, F.col("at") == F.col("block"), "left").select(*names, F.when(hit, F.col("key")).alias("key")))
+    exact = keys.withColumn("found", F.lit(True))
+    if many <= BUILD_ROWS * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        exact = exact.hint("shuffle_hash")
+    found = marked.where("key is not null").join(exact, "key", "left")
+    both = found.select(*names, F.coalesce("found", F.lit(False)).alias("listed")).unionByName(marked.where("key is null").select(*names, F.lit(False).alias("listed")))
     method = F.when(F.col("listed"), "block").otherwise("allow")
-    return both.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "listed")
+    return both.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "listed")
 
 
 #: DuckDB, for ``judge`` with the pages whose id is divisible by 20 as the list.

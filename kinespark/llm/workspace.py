@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -46,29 +47,32 @@ def stored(df: DataFrame) -> DataFrame:
 
 def _keep(path: str) -> None:
     if not _MADE:
-        atexit.register(release)
+        atexit.register(_at_exit)
     _MADE.append(path)
 
 
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, with its files out of reach
+        release()
+
+
 def made() -> int:
     """A mark for ``release``: what was written up to now."""
     return len(_MADE)
 
 
-def release(since: int = 0, *keep: DataFrame) -> None:
-    """Delete what ``cut`` and ``stored`` wrote after the mark, but for the files of ``keep``; all of it when the process ends.
+def release(since: int = 0, until: int | None = None) -> None:
+    """Delete what ``cut`` and ``stored`` wrote between two marks; all of it when the process ends.
 
     Results that read those files can't be computed after this.
     """
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
-    files = {f.rpartition("/")[0] for df in keep for f in df.inputFiles()}
-    for path in _MADE[since:]:
-        if not any(f.endswith(path.rpartition(":")[2]) for f in files):
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-            _MADE.remove(path)
+    for path in _MADE[since:until]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    del _MADE[since:until]
 
 
 def named(name: str) -> Column:

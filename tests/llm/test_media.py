@@ -10,6 +10,7 @@ import pytest
 
 from kinespark.llm import avi_mjpeg, jpeg
 from kinespark.llm import sentencepiece_codec as sp
+from kinespark.llm.queries import MODEL
 
 ODD = ["", None, " ", "a", "é\n日本 🙂 ▁ x", "ab " * 900, "x" * 5000, "\x00\x01", "  lead and trail  "]
 
@@ -186,6 +187,17 @@ def test_clips_of_foreign_video(spark):
     assert [(c.first_frame, c.n_frames) for c in avi_mjpeg.clips(df).sort("clip").collect()] == [(0, 6), (6, 5)]
 
 
+def test_bad_files_have_a_row_with_their_error(spark):
+    good = avi_mjpeg.store(np.frombuffer(b"hello" * 500, np.uint8), np.array([0, 2500]))[0]
+    at_ = good.index(b"idx1")
+    bad = [b"", b"RIFF", good[:60], good[: len(good) // 2], good[: at_ + 11], good[:at_], good[: at_ + 4] + b"\xff\xff\xff\x7f" + good[at_ + 8 :], good.replace(b"\xff\xd8", b"\x00\x00"), b"no video at all" * 9]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)] + [(100, bytearray(good)), (101, None)], "doc_id long, media binary")
+    rows = avi_mjpeg.clips(df.selectExpr("*", "1 AS error", "2 AS `a.b`")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(bad) + 1 and all(by[i].error and by[i].clip is None and by[i].start_s is None for i in range(len(bad)))
+    assert by[100].error is None and (by[100].clip, by[100].first_frame) == (0, 0)
+
+
 @pytest.mark.parametrize("n, cuts", [(2, [1]), (3, [1, 2]), (6, [3]), (20, [1]), (20, [2]), (20, [18]), (20, [19]), (20, [9, 10]), (20, [9, 11]), (20, [9, 12]), (20, [])])
 def test_cuts_near_the_ends_in_short_files_and_close_together(n, cuts):
     hist = np.zeros((n, avi_mjpeg.BINS), np.int64)
@@ -247,7 +259,7 @@ def test_viterbi_scores_match_brute_force_and_decode():
         sp.Codec([("a▁b", -1.0, 1)])
 
 
-needs_model = pytest.mark.skipif(not Path(sp.MODEL).exists(), reason="no vocabulary")
+needs_model = pytest.mark.skipif(not Path(MODEL).exists(), reason="no vocabulary")
 
 
 def message(field, value):
@@ -266,7 +278,7 @@ def test_same_segmentation_as_the_library():
     library = pytest.importorskip("sentencepiece")
     fix = lambda s: max(s, -40000.0)
     data = b""
-    for f, v in sp._fields(Path(sp.MODEL).read_bytes()):
+    for f, v in sp._fields(Path(MODEL).read_bytes()):
         if f == 1:
             d = dict(sp._fields(v))
             score = np.float32(fix(float(np.frombuffer(d.get(2, b"\0" * 4), np.float32)[0]))).tobytes()
@@ -275,7 +287,7 @@ def test_same_segmentation_as_the_library():
             v = b"\x18\x01" + b"\x98\x02\x01"  # unigram, with byte fallback
         data += message(f, v)
     other = library.SentencePieceProcessor(model_proto=data)
-    mine = sp.Codec([(p, fix(s), k) for p, s, k in sp.load()])
+    mine = sp.Codec([(p, fix(s), k) for p, s, k in sp.load(MODEL)])
     for t in [t for t in ODD if t and "▁" not in t] + ["Hello, World! This is a test of 12345 words.", "straße élan ñandú"]:
         assert np.frombuffer(mine.encode(t), np.int32).tolist() == other.encode(t)
 
@@ -283,14 +295,14 @@ def test_same_segmentation_as_the_library():
 @needs_model
 def test_encode_and_decode_tables(spark):
     df = spark.createDataFrame(list(enumerate(ODD)) + [(3, "a"), (None, "n")], "doc_id long, text string").selectExpr("*", "'i' AS ids", "1 AS doc")
-    got = sp.encode(df)
+    got = sp.encode(df, model=MODEL)
     rows = got.collect()
     assert len(rows) == len(ODD) + 2
     by = {r.doc_id: r for r in rows}
     assert by[1].ids is None and by[1].n_pieces == 0 and by[1].round_trip is None and by[0].ids == []
     assert all(r.round_trip for r in rows if r.ids is not None) and all(r.n_pieces == len(r.ids or []) for r in rows)
-    back = {r.doc_id: r.text for r in sp.decode(got).collect()}
-    assert all(back[i] == t for i, t in enumerate(ODD)) and sp.encode(df.limit(0)).count() == 0
+    back = {r.doc_id: r.text for r in sp.decode(got, model=MODEL).collect()}
+    assert all(back[i] == t for i, t in enumerate(ODD)) and sp.encode(df.limit(0), model=MODEL).count() == 0
 
 
 # -- pipeline
@@ -328,7 +340,32 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     third = spark.read.parquet(f"{tmp_path}/2")
     copies = {r.doc_id: r.copies for r in mixing.balance(third).collect()}
     assert {r.doc_id: r["count"] for r in spark.read.parquet(f"{tmp_path}/3").groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
-    codec = sp.Codec(sp.load())
+    codec = sp.Codec(sp.load(MODEL))
     for i, r in seen[4].items():
         assert r.ids == np.frombuffer(codec.encode(seen[2][i].text), np.int32).tolist() and r.round_trip
-    assert P.run(spark, str(tmp_path)).count() == docs.count()
+    ran = P.run(spark, str(tmp_path))
+    assert sorted(map(str, ran.collect())) == sorted(map(str, docs.collect()))
+
+
+@needs_model
+def test_pipeline_of_empty_null_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{i} and{i}" for i in range(30)) + "."
+    rows = [(None, long, "a"), (None, long, "a"), (1, long + " more", "a"), (2, None, "b"), (None, None, None), (3, "", "b"), (4, " ".join(f"x{i}" for i in range(50)), None)]
+    schema = "doc_id long, text string, source string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "'en' AS lang", "length(text) AS n_chars", "concat('k', text) AS `a.b`", "1 AS row", "2 AS __x")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, docs in (("some", df), ("none", df.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        out = P.run(spark, folder).collect()
+        assert sorted({str(r.doc_id) for r in out}) == (["1", "4"] if name == "some" else []) and all(r.round_trip for r in out)
+        one = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in P.STAGES[:4]:
+            one = stage(spark, one, folder)
+            assert one.columns == docs.columns
+            one.write.parquet(f"{folder}/{len(one.columns)}-{_}".replace(" ", "_"))
+            one = spark.read.parquet(f"{folder}/{len(one.columns)}-{_}".replace(" ", "_"))
+        assert all(r["a.b"].startswith("k" + r.text[:20]) and r.row == 1 for r in one.collect())

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +116,45 @@ def test_viterbi_is_the_best_labelling_and_training_raises_likelihood():
         assert g[k] == pytest.approx((loglike(theta + d, x, y) - loglike(theta - d, x, y)) / 2e-5, abs=1e-4)
 
 
+def brute_kept(t, theta):
+    """The verdict by trying every labelling of the lines (few), from the features of the module."""
+    raw, offsets = buffers([t])
+    got = quality_crf.lines_of(raw, offsets)
+    if not len(got.features):
+        return 0.0
+    e, pairs = got.features @ theta[: quality_crf._N], theta[quality_crf._N :].reshape(2, 2)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    assert [sum(map(len, WORD.findall(x))) for x in lines] == got.chars.tolist()
+    best = max(product((0, 1), repeat=len(lines)), key=lambda y: sum(v for v, k in zip(e, y) if k) + sum(pairs[a, b] for a, b in zip(y, y[1:])))
+    return sum(c for c, k in zip(got.chars.tolist(), best) if k) / sum(got.chars.tolist())
+
+
+SF = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_kept_is_the_brute_force_verdict_and_mixed_documents_are_split(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    theta = quality_crf.train(docs, labels)
+    rows = {r.doc_id: r for r in quality_crf.judge(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    few = [i for i, r in rows.items() if 0 < r.n_lines <= 9]
+    assert len(few) > 200
+    for i in few:
+        share = brute_kept(texts[i], theta)
+        assert rows[i].content_share == pytest.approx(share, abs=1e-6) and rows[i].kept == (not rows[i].base_failed and share >= quality_crf.CONTENT_SHARE)
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    told = [i for i in quality if i in rows]
+    assert sum(rows[i].kept for i in told if quality[i]) >= 0.97 * sum(quality[i] > 0 for i in told)
+    assert not any(rows[i].kept for i in told if not quality[i])
+    good, bad = ([i for i in sorted(told) if quality[i] == y and rows[i].n_words >= 30] for y in (1, 0))
+    mixed = [(k, texts[g] + "\n" + texts[b], rows[g].word_chars / (rows[g].word_chars + rows[b].word_chars)) for k, (g, b) in enumerate(zip(good[:40], bad[:40]))]
+    table_ = spark.createDataFrame([x[:2] for x in mixed], "doc_id long, text string")
+    got = {r.doc_id: r.content_share for r in quality_crf.judge(table_, labels, theta=theta).collect()}
+    off = np.array([abs(got[k] - want) for k, _, want in mixed])
+    assert (off <= 0.05).mean() >= 0.95 and np.mean(off) < 0.05, off.round(3).tolist()
+
+
 LANGS = {"aa": "lorem ipsum dolor sit amet consectetur", "bb": "qwxz kzzq wqkx xxqz zkwq qqzx", "cc": "ñandú árbol écho öffnung über straße"}
 
 
@@ -164,6 +204,31 @@ def test_em_finds_the_likeliest_proportions():
     assert theta[0, 0] == pytest.approx(grid[int(np.argmax(values))], abs=2e-3) and fit[0] == pytest.approx(max(values), abs=1e-3)
 
 
+def test_language_set_is_the_best_found_by_brute_force():
+    """Greedy growth against EM on every set of languages, for short documents."""
+    rng = np.random.default_rng(8)
+    size = rng.integers(5, 60, 60)
+    rows = np.r_[0, np.cumsum(size)]
+    like = rng.normal(-20, 2.5, (rows[-1], 4))
+    for i, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+        half = a + (b - a) * (i % 3) // 4
+        like[a:half, i % 4] += 9
+        like[half:b, (i + 1) % 4] += 9
+    best, share, kinds = language_id.identify(like, rows)
+    same = 0
+    for i, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+        cost = language_id.PENALTY + 0.5 * np.log(b - a)
+        found = []
+        for mask in product((0, 1), repeat=4):
+            use = np.flatnonzero(mask)
+            if len(use):
+                theta, fit = language_id.mixture(np.ascontiguousarray(like[a:b][:, use]), np.array([0, b - a]), steps=200)
+                found.append((fit[0] - cost * (len(use) - 1), use[theta[0].argmax()], theta[0].max(), len(use)))
+        top = max(found)
+        same += (top[1], top[3]) == (best[i], kinds[i]) and abs(top[2] - share[i]) < 0.02
+    assert same >= 59
+
+
 def brute_substring(texts, window):
     words = [WORD.findall(t or "") for t in texts]
     c = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -214,7 +279,11 @@ def test_substring_dedup_against_brute_force(spark, window):
 def test_substring_dedup_repeated_ids_null_ids_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, long), (1, long), (None, long + " tail"), (None, "short"), (2, None)], "doc_id long, text string")
-    rows = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.judge(df).collect())
+    as_text = df.selectExpr("concat('id', doc_id) AS doc_id", "text", "1 AS `a.b`", "2 AS __k1", "3 AS __left", "4 AS row", "5 AS k2", "6 AS places")
+    rows = sorted((str(r.doc_id).replace("id", ""), r.n_words, r.n_removed) for r in substring_dedup.judge(as_text).collect())
+    assert rows == sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.judge(df).collect())
+    left = substring_dedup.without_repeats(as_text)
+    assert left.columns == as_text.columns and {(r["a.b"], r["__k1"], r["__left"], r["row"], r["k2"]) for r in left.collect()} == {(1, 2, 3, 4, 5)}
     assert rows == [("1", 40, 40), ("1", 40, 40), ("2", 0, 0), ("None", 1, 0), ("None", 41, 40)]
     assert sorted(str(r.text) for r in substring_dedup.without_repeats(df).collect()) == ["", "", "None", "short", "tail"]
     assert substring_dedup.judge(df.limit(0)).count() == 0 and substring_dedup.without_repeats(df.limit(0)).count() == 0
