@@ -9,7 +9,12 @@ but the last return the columns of ``documents``:
 4. mixing repeats or drops documents so that sources meet their target weights;
 5. encoding gives doc_id, n_pieces, ids and round_trip.
 
-Rows keep their null columns throughout; a null or empty text is rejected by the first stage.
+Defined results: rows keep their null columns throughout; a null or empty text is rejected by
+the first stage, as are texts of fewer than 10 words; ids may be null, shared or of any type
+that sorts, and rows repeated as a whole are equal copies, of which the second stage keeps
+one; ties go as each operator's module says; a text of any length is read whole; empty tables
+give an empty table. Extra columns, whatever their names, are carried along by the first four
+stages. Without an ``n_chars`` column none is made.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.llm import mixing, order_minhash, quality_crf, sentencepiece_codec, substring_dedup
-from kinespark.llm.workspace import stored
+from kinespark.llm.queries import MODEL
+from kinespark.llm.workspace import made, named, release, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts lose repeated passages; ``n_chars`` follows the text."""
     left = substring_dedup.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return left
     kind = docs.schema["n_chars"].dataType
-    return left.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
+    return left.select(*(F.char_length("text").cast(kind).alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs)
+    return sentencepiece_codec.encode(docs, model=MODEL)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept = stage(spark, docs, sf_dir)
+        behind = made()
+        docs = stored(kept)
+        release(before, behind)  # the stage's own tables and its input
+        before = made() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
