@@ -22,9 +22,22 @@ def hand_points(state: np.ndarray, side: int) -> np.ndarray:
     return np.concatenate([points[..., :1, :], points[..., 3:, :]], axis=-2)
 
 
+def inverted(matrices: np.ndarray) -> np.ndarray:
+    """Inverses of matrices (..., n, n); NaN where there is none, so that one bad row doesn't fail the others."""
+    with np.errstate(all="ignore"):
+        usable = np.isfinite(matrices).all(axis=(-2, -1))
+        safe = np.where(usable[..., None, None], matrices, np.eye(matrices.shape[-1]))
+        usable &= np.linalg.matrix_rank(safe) == matrices.shape[-1]
+    safe = np.where(usable[..., None, None], safe, np.eye(matrices.shape[-1]))
+    return np.where(usable[..., None, None], np.linalg.inv(safe), np.nan)
+
+
 def project_world(points: np.ndarray, extrinsics: np.ndarray, focal: tuple[float, float] = FOCAL, centre: tuple[float, float] = CENTRE) -> np.ndarray:
-    """Pixels (..., k, 2) of world points (..., k, 3) for camera-to-world matrices (..., 4, 4); NaN at or behind the camera."""
-    inverse = np.linalg.inv(extrinsics)
+    """Pixels (..., k, 2) of world points (..., k, 3) for camera-to-world matrices (..., 4, 4).
+
+    NaN at or behind the camera, and for a matrix without an inverse.
+    """
+    inverse = inverted(extrinsics)
     cam = points @ np.swapaxes(inverse[..., :3, :3], -1, -2) + inverse[..., None, :3, 3]
     z = cam[..., 2:]
     with np.errstate(all="ignore"):

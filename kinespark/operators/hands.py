@@ -8,27 +8,35 @@ when the plan is made.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
+import sys
+import threading
+import types
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geometry as G
-from ..functions.columns import as_column
+from ..functions.columns import as_column, named
 from ..sources.schemas import HANDS
 
 CACHE_VARIABLE = "KINESPARK_CACHE"
 ASSETS_VARIABLE = "KINESPARK_WILOR_ROOT"
 _MODELS = "https://storage.googleapis.com/mediapipe-models"
-LANDMARK_MODEL = "/".join([_MODELS, *["hand_landmarker"] * 2, "float16", "1", "hand_landmarker.task"])
+LANDMARK_MODEL = f"{_MODELS}/hand_landmarker/hand_landmarker/float16/1/hand_landmarker.task"
+CLOSE_S = 5.0
 File = str | None
 
 
@@ -41,7 +49,11 @@ def cached_model(path: str | None, url: str = LANDMARK_MODEL) -> str:
     """``path``, or the model in the cache folder, fetched once if it isn't there."""
     if path:
         return path
-    kept = Path(os.environ.get(CACHE_VARIABLE) or Path.home() / ".cache" / "kinespark") / Path(url).name
+    return fetched(url, Path(os.environ.get(CACHE_VARIABLE) or Path.home() / ".cache" / "kinespark") / Path(url).name)
+
+
+def fetched(url: str, kept: Path) -> str:
+    """The file ``kept``, fetched once if it isn't there; workers that fetch at the same time don't meet half a file."""
     if not kept.exists():
         kept.parent.mkdir(parents=True, exist_ok=True)
         part = kept.with_name(f"{kept.name}.{os.getpid()}")
@@ -50,6 +62,28 @@ def cached_model(path: str | None, url: str = LANDMARK_MODEL) -> str:
     return str(kept)
 
 
+def closed_in_time(close: Callable[[], object], *, alive: Callable[[], bool] = lambda: True, seconds: float = CLOSE_S) -> str:
+    """Close a native model without ever hanging or raising: ``closed``, ``skipped`` or ``abandoned``.
+
+    A model whose own threads are gone would wait for them for ever, so it is left; any other gets some seconds in a
+    thread of its own. What is left over goes with the process.
+    """
+    if not alive():
+        return "skipped"
+
+    def quietly() -> None:
+        with contextlib.suppress(Exception):
+            close()
+
+    helper = threading.Thread(target=quietly, daemon=True, name="close-model")
+    try:
+        helper.start()
+    except RuntimeError:  # the interpreter is on its way out
+        return "skipped"
+    helper.join(seconds)
+    return "abandoned" if helper.is_alive() else "closed"
+
+
 def landmarks_to_hands(landmarks: list, handedness: list, width: int, height: int) -> list[dict]:
     """Hands from normalised landmarks; the label and its score are ``unknown`` and 0 where a hand has none."""
     out = []
@@ -83,6 +117,18 @@ class MediaPipe:
                 base_options=mp.tasks.BaseOptions(model_asset_path=cached_model(given.model_path)), num_hands=given.num_hands, min_hand_detection_confidence=given.min_confidence
             )
             self.mp, self.detector = mp, vision.HandLandmarker.create_from_options(options)
+            # the package closes a detector when it is collected, which can be after its threads have ended
+            self._close = self.detector.close
+            self.detector.close = self.close
+
+        def _alive(self) -> bool:
+            pool = getattr(getattr(self.detector, "_lib", None), "_executor", None)
+            threads = getattr(pool, "_threads", None)
+            return not threads or any(t.is_alive() for t in threads)
+
+        def close(self) -> str:
+            done, self._close = self._close, lambda: None
+            return closed_in_time(done, alive=self._alive)
 
         def track(self, frames: list[np.ndarray | None]) -> list[list[dict]]:
             out = []
@@ -114,6 +160,7 @@ class Wilor:
     wilor_root: File = None
     device: str = "cuda"
     batch: int = 8
+    weights_url: str | None = None
 
     def __call__(self) -> Wilor._Tracker:
         return Wilor._Tracker(self)
@@ -127,15 +174,14 @@ class Wilor:
                 import ultralytics
             except ImportError as err:
                 raise ImportError("method 'wilor' needs torch, ultralytics and the model's own code on the workers") from err
-            root = place_assets(given.wilor_root, given.mano_path)
-            import sys
-
+            root = place_assets(given.wilor_root, given.mano_path, given.weights_url)
             sys.path.insert(0, root)  # of this worker process only
-            from importlib import import_module
+            without_renderer()
+            from wilor.models import load_wilor
+            from wilor.utils import recursive_to
+            from wilor.datasets.vitdet_dataset import ViTDetDataset
 
-            part = lambda module, name: getattr(import_module(f"wilor.{module}"), name)
-            self.torch, self.crops, self.to = torch, part("datasets.vitdet_dataset", "ViTDetDataset"), part("utils", "recursive_to")
-            load_wilor = part("models", "load_wilor")
+            self.torch, self.crops, self.to = torch, ViTDetDataset, recursive_to
             self.device = torch.device(given.device)
             model, self.config = load_wilor(checkpoint_path=f"{root}/pretrained_models/wilor_final.ckpt", cfg_path=f"{root}/pretrained_models/model_config.yaml")
             self.model = model.eval().to(self.device)
@@ -162,12 +208,15 @@ class Wilor:
 ASSETS = ("pretrained_models/detector.pt", "pretrained_models/wilor_final.ckpt", "pretrained_models/model_config.yaml", "pretrained_models/dataset_config.yaml")
 
 
-def place_assets(root: str | None, mano_path: str | None) -> str:
+def place_assets(root: str | None, mano_path: str | None, weights_url: str | None = None) -> str:
     """The model's folder, with the hand model copied to the two places it is read from; what is there already stays.
 
-    Weights aren't fetched here: the folder must hold ``ASSETS``, and the error names what lacks.
+    Lacking ``ASSETS`` are fetched from under ``weights_url`` if that is given, else the error names them. The model's
+    own code isn't fetched.
     """
     home = Path(root or os.environ.get(ASSETS_VARIABLE) or "/WiLoR")
+    for a in ASSETS if weights_url else ():
+        fetched(f"{weights_url.rstrip('/')}/{a}", home / a)
     if lacking := [a for a in ASSETS if not (home / a).exists()]:
         raise FileNotFoundError(f"{home} lacks {lacking}")
     for place in ("mano_data/MANO_RIGHT.pkl", "pretrained_models/MANO_RIGHT.pkl"):
@@ -180,6 +229,30 @@ def place_assets(root: str | None, mano_path: str | None) -> str:
     return str(home)
 
 
+class _Nothing(MagicMock):
+    """Takes any arguments and answers to any name."""
+
+    def __init__(self, *args: object, **kwargs: object) -> None:
+        super().__init__()
+
+    def _get_child_mock(self, **kwargs: object) -> MagicMock:
+        return MagicMock(**kwargs)
+
+
+class _Placeholder(types.ModuleType):
+    """A module any name of which can be imported, called and subclassed, and does nothing."""
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return _Nothing
+
+
+def without_renderer(name: str = "pyrender") -> None:
+    """Let the model's code import its mesh renderer, which isn't used and would need a GL library; a real one already loaded stays."""
+    sys.modules.setdefault(name, _Placeholder(name))
+
+
 METHODS: dict[str, Callable[..., object]] = {}
 
 
@@ -194,7 +267,9 @@ _LIVE: dict[object, object] = {}
 def _tracker(factory):
     """One tracker per worker process and configuration."""
     if factory not in _LIVE:
-        _LIVE[factory] = factory()
+        _LIVE[factory] = made = factory()
+        if hasattr(made, "close"):
+            atexit.register(made.close)
     return _LIVE[factory]
 
 
@@ -219,6 +294,34 @@ def track_with(images: Column | str, factory, *, batch: int = 16) -> Column:
     return tracked(as_column(images))
 
 
+def gpu_profile(share: float = 0.25, *, cpus: int = 1):
+    """A resource profile that gives each task a share of a GPU, so that 1 / share tasks run on one at a time."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    if not 0 < share <= 1:
+        raise ValueError(f"share is above 0 and at most 1, not {share}")
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus).resource("gpu", share)).build
+
+
+def track_table(frames: DataFrame, images: str, factory, *, to: str = "hands", batch: int = 16, profile=None, most_tasks: int | None = None) -> DataFrame:
+    """``frames`` with a column of hands, as ``track_with``, as a step of its own that can be held to resources.
+
+    ``profile`` (see ``gpu_profile``) sets what a task needs, on clusters that can schedule it; ``most_tasks`` bounds
+    the trackers at work at once by the number of partitions, without a shuffle.
+    """
+    kind, schema = to_arrow_type(HANDS), T.StructType([*frames.schema.fields, T.StructField(to, HANDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(0, rows.num_rows, batch):
+                part = rows.slice(i, batch)
+                hands = _tracker(factory).track([_pixels(x) for x in part.column("image").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.column("row").flatten(), pa.array(hands, kind)], names=schema.names)
+
+    rows = frames if most_tasks is None else frames.coalesce(most_tasks)
+    return rows.select(F.struct(*map(named, frames.columns)).alias("row"), named(images).alias("image")).mapInArrow(run, schema, profile=profile)
+
+
 def track_hands(images: Column | str, *, method: str, num_hands: int = 2, min_confidence: float = 0.3, model_path: File = None, device: str = "cuda", mano_path: File = None, wilor_root: File = None) -> Column:
     """Hands in each image: array of struct handedness, confidence, kp2d, kp3d. A null image has none.
 

@@ -26,6 +26,15 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return min(options, key=lambda o: sum(cost[i, j] for i, j in o))
 
 
+def _wrist_and_tips(hand: dict | None) -> np.ndarray | None:
+    """Six points of a predicted hand; None if it lacks one of its 21 points or one of these is no number."""
+    points = None if hand is None else hand["kp2d"]
+    if points is None or len(points) < 21 or any(p is None or len(p) < 2 for p in points):
+        return None
+    six = np.array([points[k][:2] for k in G.WRIST_AND_TIPS], dtype=float)
+    return six if np.isfinite(six).all() else None
+
+
 def match_batch(hands: list, states: list, extrinsics: list) -> list[dict]:
     """``match_hands`` of lists of rows. All hand pairs of the batch go through one vectorised error computation."""
     n = len(hands)
@@ -33,13 +42,13 @@ def match_batch(hands: list, states: list, extrinsics: list) -> list[dict]:
     seen: list[list[np.ndarray]] = [[] for _ in range(n)]
     if rows := [i for i in range(n) if ok[i]]:
         state = np.array([[np.nan if x is None else x for x in states[i][: 2 * G.HAND_DIMS]] for i in rows], dtype=float)
-        camera = np.array([extrinsics[i] for i in rows], dtype=float).reshape(-1, 4, 4)
+        camera = np.array([[np.nan if x is None else x for x in extrinsics[i]] for i in rows], dtype=float).reshape(-1, 4, 4)
         for side in (0, 1):
             pixels = G.project_world(G.hand_points(state, side), camera)
             for i, uv in zip(rows, pixels, strict=True):
                 if np.isfinite(uv).all():
                     seen[i].append(uv)
-    guesses = [[np.array(h["kp2d"], dtype=float)[list(G.WRIST_AND_TIPS)] for h in row or []] for row in hands]
+    guesses = [[p for h in row or [] if (p := _wrist_and_tips(h)) is not None] for row in hands]
     pairs = [(i, a, b) for i in range(n) for a in range(len(seen[i])) for b in range(len(guesses[i]))]
     errors = G.tip_errors(np.array([seen[i][a] for i, a, _ in pairs]), np.array([guesses[i][b] for i, _, b in pairs])) if pairs else np.zeros((0, 6))
     of = {p: e for p, e in zip(pairs, errors, strict=True)}
@@ -59,7 +68,8 @@ def match_hands(hands: Column | str, state: Column | str, extrinsics: Column | s
 
     A true hand counts if its wrist and fingertips all project in front of the camera. Hands are paired so that the sum
     of their mean errors is least; errors are in units of hand size, six per pair, in the order of the true tips, the
-    wrist's being 0. Null hands are none; a null or short state or camera has no true hand.
+    wrist's being 0. Null hands are none, nor are those with fewer than 21 points or with wrist or tips that are no
+    numbers; a null or short state or camera, or a camera matrix without an inverse, has no true hand.
     """
     kind = to_arrow_type(MATCH)
 

@@ -12,24 +12,50 @@ from ..functions.sampling import sample_indexes
 SLACK = 1e-6
 
 
-def segment_frames(frames: DataFrame, episodes: DataFrame, *, key: str, time: str, from_ts: str, to_ts: str) -> DataFrame:
-    """Frames that lie in their episode's segment, with ``index`` from 0 on its own clock and ``timestamp_s``.
+def six_places(t: Column) -> Column:
+    """Python's ``round(t, 6)`` of a double: to the nearest by its exact binary value, ties to even.
 
-    ``frames`` has a row per frame with its time in seconds, ``episodes`` a row per key with the
-    segment's bounds. A frame counts from ``from_ts`` on and before ``to_ts``, both less a
-    microsecond; frames without a time are skipped. The one shuffle is by episode.
+    Spark's own rounding goes by the shortest decimal form, which can lie on a tie that the binary value doesn't. Here
+    the value is split into two halves of 26 bits, whose products with a million are exact, so the side of the tie is.
+    """
+    t = t.cast("double")
+    wide = t * F.lit(134217729.0)
+    high = wide - (wide - t)
+    low = F.floor(t * F.lit(1e6)).cast("double")
+    side = (high * F.lit(1e6) - (low + F.lit(0.5))) + (t - high) * F.lit(1e6)
+    up = (side > 0) | ((side == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+    return F.when(F.abs(t) < 4e9, (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(1e6)).otherwise(t)
+
+
+def on_clock(frames: DataFrame, *, key: str, time: str, from_ts: Column | str, to_ts: Column | str) -> DataFrame:
+    """Frames in the bounds that each row carries, with ``index`` from 0 on the clock of its episode and ``timestamp_s``.
+
+    A frame counts from ``from_ts`` on and before ``to_ts``, both less a microsecond; frames without a time are skipped.
+    ``timestamp_s`` is rounded to six places as Python's ``round`` does, so that it equals what the decoding kernel
+    reports. The one shuffle is by episode, and none if the frames already lie by it.
     """
-    bounds = episodes.select(named(key), named(from_ts).alias("__from"), named(to_ts).alias("__to"))
     t = named(time)
-    inside = frames.where(t.isNotNull()).join(bounds, key).where((t >= F.col("__from") - SLACK) & (t < F.col("__to") - SLACK))
+    inside = frames.where(t.isNotNull() & (t >= as_column(from_ts) - SLACK) & (t < as_column(to_ts) - SLACK))
     place = F.row_number().over(W.partitionBy(named(key)).orderBy(t))
-    return inside.withColumn("index", (place - 1).cast("long")).withColumn("timestamp_s", F.round(t, 6)).drop("__from", "__to")
+    return inside.withColumn("index", (place - 1).cast("long")).withColumn("timestamp_s", six_places(t))
+
+
+def segment_frames(frames: DataFrame, episodes: DataFrame, *, key: str, time: str, from_ts: str, to_ts: str) -> DataFrame:
+    """``on_clock`` with bounds from ``episodes``, a row per key; ``frames`` has a row per frame with its time in seconds."""
+    bounds = episodes.select(named(key), named(from_ts).alias("__from"), named(to_ts).alias("__to"))
+    return on_clock(frames.join(bounds, key), key=key, time=time, from_ts="__from", to_ts="__to").drop("__from", "__to")
+
+
+def sampled(frames: DataFrame, *, length: Column | str, max_frames: int = 8) -> DataFrame:
+    """Of frames with an ``index``, those among ``sample_indexes(length)``."""
+    return frames.where(F.array_contains(sample_indexes(length, max_frames), F.col("index")))
 
 
 def sampled_frames(frames: DataFrame, episodes: DataFrame, *, key: str, time: str, from_ts: str, to_ts: str, length: str, max_frames: int = 8) -> DataFrame:
-    """The segment's frames whose index is among ``sample_indexes(length)``."""
-    wanted = episodes.select(named(key), F.explode(sample_indexes(length, max_frames)).alias("index"))
-    return segment_frames(frames, episodes, key=key, time=time, from_ts=from_ts, to_ts=to_ts).join(wanted, [key, "index"], "left_semi")
+    """The segment's frames whose index is among ``sample_indexes(length)``; one join brings bounds and length."""
+    bounds = episodes.select(named(key), named(from_ts).alias("__from"), named(to_ts).alias("__to"), named(length).alias("__length"))
+    placed = on_clock(frames.join(bounds, key), key=key, time=time, from_ts="__from", to_ts="__to")
+    return sampled(placed, length="__length", max_frames=max_frames).drop("__from", "__to", "__length")
 
 
 def reward_curve(episodes: DataFrame, rewards: Column | str = "rewards", *, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -16,11 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.columns import finite, gather, last, list_join, parent_dir, stem, with_suffix
+from ..functions.columns import finite, gather, last, list_join, named, parent_dir, stem, with_suffix
 from ..functions.sampling import sample_indexes
 from ..operators import metrics, segments
 from ..operators.hands import register_method, track_hands
 from ..operators.matching import match_hands
+from ..operators.rewards import score_rewards
+from ..sources import episodes
+from ..sources.readers import NpzDecoder, NpzReader
+from . import sample_release
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,12 +57,17 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("user_id", "event_id", (_micros() / F.lit(1e6)).alias("t"), "value")
 
 
-def _episodes(frames: DataFrame) -> DataFrame:
-    """user_id, length, from_ts, to_ts: the middle half of each user's time."""
-    bounds = frames.groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    half = bounds.select("user_id", (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.25).alias("from_ts"), (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.75).alias("to_ts"))
-    inside = frames.join(half, "user_id").where((F.col("t") >= F.col("from_ts") - segments.SLACK) & (F.col("t") < F.col("to_ts") - segments.SLACK))
-    return inside.groupBy("user_id", "from_ts", "to_ts").agg(F.count("*").alias("length"))
+def _bounded(frames: DataFrame) -> DataFrame:
+    """Adds from_ts and to_ts, the middle half of each user's time, in the pass that puts a user's frames side by side."""
+    user = W.partitionBy("user_id")
+    low, high = F.min("t").over(user), F.max("t").over(user)
+    return frames.withColumns({"from_ts": low + (high - low) * 0.25, "to_ts": low + (high - low) * 0.75})
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the middle half with index, timestamp_s and length; one shuffle, by user."""
+    got = segments.on_clock(_bounded(_frames(spark, sf_dir)), key="user_id", time="t", from_ts="from_ts", to_ts="to_ts")
+    return got.withColumn("length", F.count("*").over(W.partitionBy("user_id")))
 
 
 _FRAMES_SQL = """f AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value FROM events),
@@ -102,21 +111,17 @@ def sample_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled_lengths(spark, sf_dir, 3)
 
 
-@query(f"WITH {_FRAMES_SQL} SELECT user_id, event_id, index, round(t, 3) AS timestamp_s FROM s")
+@query(f"WITH {_FRAMES_SQL} SELECT user_id, event_id, index, t AS timestamp_s FROM s")
 def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
-    got = segments.segment_frames(f, _episodes(f), key="user_id", time="t", from_ts="from_ts", to_ts="to_ts")
-    return got.select("user_id", "event_id", "index", F.round("timestamp_s", 3).alias("timestamp_s"))
+    return _placed(spark, sf_dir).select("user_id", "event_id", "index", "timestamp_s")
 
 
 @query(
     f"WITH {_FRAMES_SQL}, l AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id), w AS (SELECT user_id, unnest({_sample_sql('n', 8)}) AS index FROM l) "
-    "SELECT s.user_id, s.event_id, s.index, round(s.t, 3) AS timestamp_s FROM s JOIN w ON s.user_id = w.user_id AND s.index = w.index"
+    "SELECT s.user_id, s.event_id, s.index, s.t AS timestamp_s FROM s JOIN w ON s.user_id = w.user_id AND s.index = w.index"
 )
 def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
-    got = segments.sampled_frames(f, _episodes(f), key="user_id", time="t", from_ts="from_ts", to_ts="to_ts", length="length")
-    return got.select("user_id", "event_id", "index", F.round("timestamp_s", 3).alias("timestamp_s"))
+    return segments.sampled(_placed(spark, sf_dir), length="length").select("user_id", "event_id", "index", "timestamp_s")
 
 
 def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,39 +346,70 @@ def detect_pck_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH m AS (SELECT unnest(['first', 'second']) AS label) "
-    "SELECT m.label, count(*)::BIGINT AS frames FROM m, embeddings GROUP BY m.label"
+    f"""WITH {_match_sql()}, f AS (SELECT v.vec_id, v.label % 2 = 0 AS even, n_gt FROM v LEFT JOIN n USING (vec_id)),
+u AS (SELECT 'first' AS label, n_gt, true AS scored FROM f UNION ALL SELECT 'second', n_gt, even FROM f)
+SELECT label, count(*)::BIGINT AS frames, count(*) FILTER (scored)::BIGINT AS scored, coalesce(sum(n_gt) FILTER (scored), 0)::BIGINT AS n_gt FROM u GROUP BY label"""
 )
 def methods_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _matches(spark, sf_dir).select("score")
-    return metrics.by_method(frames, {"first": "score", "second": "score"}).groupBy("label").agg(F.count("*").alias("frames"))
+    """Two methods in rows; the second has no score on frames of odd label."""
+    scored = _matches(spark, sf_dir).select("score", F.when(F.col("label") % 2 == 0, F.col("score")).alias("other"))
+    rows = metrics.by_method(scored, {"first": "score", "second": "other"})
+    return rows.groupBy("label").agg(F.count("*").alias("frames"), F.count("score").alias("scored"), F.coalesce(F.sum("score.n_gt"), F.lit(0).cast("long")).alias("n_gt"))
+
+
+#: Turned about the upright axis by the angle of a 3-4-5 triangle, and moved.
+_TURNED = np.array([[0.6, 0, 0.8, 0.1], [0, 1, 0, -0.2], [-0.8, 0, 0.6, -1.0], [0, 0, 0, 1]])
 
 
-@query(f"WITH {_V_SQL} SELECT vec_id, CASE WHEN v[3] + 1 > 0 THEN round(v[1] / (v[3] + 1) * 736.6339 + 960.0, 3) END AS u, CASE WHEN v[3] + 1 > 0 THEN round(v[2] / (v[3] + 1) * 736.6339 + 540.0, 3) END AS v FROM v")
+@query(
+    f"WITH {_V_SQL}, c AS (SELECT vec_id, 0.6 * (v[1] - 0.1) - 0.8 * (v[3] + 1.0) AS x, v[2] + 0.2 AS y, 0.8 * (v[1] - 0.1) + 0.6 * (v[3] + 1.0) AS z FROM v) "
+    "SELECT vec_id, CASE WHEN z > 0 THEN round(x / z * 736.6339 + 960.0, 3) END AS u, CASE WHEN z > 0 THEN round(y / z * 736.6339 + 540.0, 3) END AS v FROM c"
+)
 def pinhole_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uv = G.pinhole_columns(F.col("v")[0], F.col("v")[1], F.col("v")[2] + 1)
-    return _vectors(spark, sf_dir).select("vec_id", *(F.round(c, 3).alias(n) for n, c in uv.items()))
+    """The first three numbers of a vector as a point in the world, in pixels of a turned and moved camera."""
+    kind = pa.list_(pa.float64())
+
+    @F.arrow_udf("array<double>")
+    def pixels(v: pa.Array) -> pa.Array:
+        points = np.array(v.to_pylist(), dtype=float).reshape(len(v), -1)[:, None, :3]
+        uv = G.project_world(points, np.broadcast_to(_TURNED, (len(v), 4, 4)))[:, 0]
+        return pa.array([None if np.isnan(p).any() else p.tolist() for p in uv], kind)
+
+    seen = _vectors(spark, sf_dir).select("vec_id", pixels("v").alias("uv"))
+    return seen.select("vec_id", F.round(F.col("uv")[0], 3).alias("u"), F.round(F.col("uv")[1], 3).alias("v"))
 
 
 @query(
     "SELECT l_orderkey, l_linenumber, round((l_extendedprice - 1920.0 / 2) * 2 / (l_quantity * (l_tax + 1) + 1e-9) + l_discount, 4) AS tx, "
-    "round((l_extendedprice - 1080.0 / 2) * 2 / (l_quantity * (l_tax + 1) + 1e-9) + l_tax, 4) AS ty, round(37500.0 * 2 / (l_quantity * (l_tax + 1) + 1e-9), 4) AS tz FROM lineitem"
+    "round((l_quantity * 10 - 1080.0 / 2) * 2 / (l_quantity * (l_tax + 1) + 1e-9) + l_tax, 4) AS ty, round(37500.0 * 2 / (l_quantity * (l_tax + 1) + 1e-9), 4) AS tz FROM lineitem"
 )
 def cam_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    t = G.full_image_camera_columns(c("l_tax") + 1, c("l_discount"), c("l_tax"), c("l_extendedprice"), c("l_extendedprice"), c("l_quantity"), F.lit(1920.0), F.lit(1080.0), F.lit(37500.0))
+    t = G.full_image_camera_columns(c("l_tax") + 1, c("l_discount"), c("l_tax"), c("l_extendedprice"), c("l_quantity") * 10, c("l_quantity"), F.lit(1920.0), F.lit(1080.0), F.lit(37500.0))
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(x, 4).alias(n) for n, x in t.items()))
 
 
-@query(f"WITH {_V_SQL} SELECT vec_id, round((2 * (label % 2) - 1) * v[1], 5) AS x, round(v[2], 5) AS y FROM v")
+@query(f"WITH {_V_SQL} SELECT vec_id, round((2 * (label % 2) - 1) * v[1], 5) AS x, round(v[2], 5) AS y, round((2 * (label % 2) - 1) * v[4], 5) AS next_x FROM v")
 def mirror_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = F.col("label") % 2
-    return _vectors(spark, sf_dir).select("vec_id", F.round((right * 2 - 1) * F.col("v")[0], 5).alias("x"), F.round(F.col("v")[1], 5).alias("y"))
+    """Two points of a vector as a hand, mirrored where the label is even."""
+    kind = pa.list_(pa.float64())
 
+    @F.arrow_udf("array<double>")
+    def turned(v: pa.Array, right: pa.Array) -> pa.Array:
+        points = np.array(v.to_pylist(), dtype=float).reshape(len(v), -1)[:, :6].reshape(-1, 2, 3)
+        return pa.array(G.mirrored(points, right.to_numpy(zero_copy_only=False)).reshape(len(v), 6).tolist(), kind)
 
-@query(f"WITH {_V_SQL} SELECT vec_id, list_count(v) = len(v) AS finite FROM v")
+    got = _vectors(spark, sf_dir).select("vec_id", turned("v", F.col("label") % 2).alias("p"))
+    return got.select("vec_id", F.round(F.col("p")[0], 5).alias("x"), F.round(F.col("p")[1], 5).alias("y"), F.round(F.col("p")[3], 5).alias("next_x"))
+
+
+@query("SELECT vec_id, vec_id % 5 NOT IN (1, 2, 3) AS finite FROM embeddings")
 def finite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("vec_id", finite("v").alias("finite"))
+    """Vectors that hold a NaN, an infinity or a null in one place, by their id, and those that don't."""
+    kind = F.col("vec_id") % 5
+    odd = F.when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(float("-inf")))
+    broken = F.transform("v", lambda x, i: F.when((i == 3) & kind.isin([1, 2, 3]), odd).otherwise(x))
+    return _vectors(spark, sf_dir).select("vec_id", finite(broken).alias("finite"))
 
 
 class MeanHand:
@@ -395,12 +431,64 @@ class MeanHand:
 register_method("mean", MeanHand)
 
 
-@query("SELECT doc_id, count(*)::BIGINT AS hands, round(avg(strlen(text)), 3) AS y FROM documents WHERE text <> '' GROUP BY doc_id")
+@query(
+    """WITH b AS (SELECT doc_id, CASE WHEN text <> '' THEN octet_length(encode(text)) END AS n, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, (n IS NOT NULL)::BIGINT AS hands, n::DOUBLE AS y,
+       round(CASE WHEN n IS NOT NULL THEN list_avg(list_transform(range(0, n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::INT))::FLOAT::DOUBLE END, 2) AS x FROM b"""
+)
 def track_hands_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text as a picture one pixel wide, through the tracking operator with a model-free method."""
-    docs = _table(spark, sf_dir, "documents").where("text <> ''")
-    height = F.octet_length("text")
+    """Each text as a picture one pixel wide, null if it has no byte, through the tracking operator with a model-free method."""
+    docs = _table(spark, sf_dir, "documents")
     grey = F.concat(*(F.col("text") for _ in range(3))).cast("binary")
-    image = F.struct(height.alias("height"), F.lit(1).alias("width"), F.lit(3).alias("nChannels"), F.lit("RGB").alias("mode"), grey.alias("data"))
+    image = F.when(F.col("text") != "", F.struct(F.octet_length("text").alias("height"), F.lit(1).alias("width"), F.lit(3).alias("nChannels"), F.lit("RGB").alias("mode"), grey.alias("data")))
+    point = F.get(F.col("hands"), 0)["kp2d"][0]
     tracked = docs.select("doc_id", track_hands(image, method="mean").alias("hands"))
-    return tracked.groupBy("doc_id").agg(F.sum(F.size("hands")).cast("long").alias("hands"), F.round(F.avg(F.col("hands")[0]["kp2d"][0][1]), 3).alias("y"))
+    return tracked.select("doc_id", F.size("hands").cast("long").alias("hands"), point[1].cast("double").alias("y"), F.round(point[0].cast("double"), 2).alias("x"))
+
+
+# -- files and a service ---------------------------------------------------------------
+
+_RELEASE_SQL = "r AS (SELECT n_nationkey AS n, n_name, replace(lower(r_name), ' ', '_') AS task, 3 + n_nationkey % 11 AS frames, n_nationkey % 3 <> 0 AS filmed FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_NPZ = {"reader": NpzReader(), "suffix": ".npz"}
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.raw(spark, sample_release.release(spark, sf_dir), **_NPZ)
+
+
+@query(f"WITH {_RELEASE_SQL} SELECT task, n::BIGINT AS episode_id, lower(n_name) AS description, n % 2 = 0 AS annotated, task || '/' || n || '.npz' AS file, CASE WHEN filmed THEN task || '/' || n || '.mp4' END AS video FROM r")
+def catalog_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of a release on disk."""
+    tail = lambda c: F.array_join(F.slice(F.split(c, "/"), -2, 2), "/")
+    return _catalog(spark, sf_dir).select("task", "episode_id", F.col("metadata.llm_description").alias("description"), F.col("metadata.annotated").alias("annotated"), tail("trajectory").alias("file"), tail("video").alias("video"))
+
+
+@query(f"WITH {_RELEASE_SQL} SELECT task, n::BIGINT AS episode_id, frames::BIGINT AS frames, (16 * (frames * n + frames * (frames - 1) / 2))::DOUBLE AS total FROM r WHERE task IN ('asia', 'europe')")
+def trajectory_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array of the episodes of two tasks; the other files aren't opened."""
+    chosen = episodes.raw(spark, sample_release.release(spark, sf_dir), tasks=["asia", "europe"], **_NPZ)
+    got = episodes.trajectory(chosen, [sample_release.PLACE], reader=NpzReader())
+    flat = F.flatten(F.flatten(named(sample_release.PLACE)))
+    return got.select("task", "episode_id", F.size(named(sample_release.PLACE)).cast("long").alias("frames"), F.aggregate(flat, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    f"WITH {_RELEASE_SQL}, f AS (SELECT task, n, unnest(range(0, frames, 2)) AS k FROM r WHERE filmed) "
+    "SELECT task, n::BIGINT AS episode_id, (k // 2)::BIGINT AS frame, k / 10.0::DOUBLE AS timestamp_s, 2 AS height, 6 AS width, ((n * 7 + k * 5) % 256)::BIGINT AS grey FROM f WHERE k < 8"
+)
+def camera_frames_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second frame of the first 0.8 s of each video, twice as wide, one row a frame."""
+    got = episodes.frame_rows(_catalog(spark, sf_dir), decoder=NpzDecoder(), width=6, sample_interval_seconds=0.2, end_time=0.8)
+    return got.select("task", "episode_id", "frame", "timestamp_s", "image.height", "image.width", F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("long").alias("grey"))
+
+
+@query(
+    f"WITH {_RELEASE_SQL}, i AS (SELECT task, n, unnest({_sample_sql('frames', 8)}) AS k, least(frames, 8) AS m FROM r WHERE filmed) "
+    "SELECT task, n::BIGINT AS episode_id, k::BIGINT AS index, k / 10.0::DOUBLE AS timestamp_s, round(row_number() OVER (PARTITION BY n ORDER BY k) / m, 6) AS reward_score, round(((n * 7 + k * 5) % 256) / 255, 6) AS success FROM i"
+)
+def score_rewards_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled frames of each video scored by a stand-in server, one row a frame."""
+    filmed = _catalog(spark, sf_dir).where("video IS NOT NULL").select("task", "episode_id", "video", (F.col("episode_id") % 11 + 3).alias("length"))
+    scored = filmed.withColumn("rewards", score_rewards("task", "length", F.lit(0.0), F.lit(10.0), "video", url=sample_release.fake_server(spark), decoder=NpzDecoder()))
+    rows = scored.select("task", "episode_id", F.posexplode(F.arrays_zip("rewards.reward_frames", "rewards.reward_score", "rewards.robometer_success")).alias("place", "x"))
+    return rows.select("task", "episode_id", "x.reward_frames.index", "x.reward_frames.timestamp_s", F.round("x.reward_score", 6).alias("reward_score"), F.round("x.robometer_success", 6).alias("success"))

@@ -35,6 +35,7 @@ def raw(spark: SparkSession, path: str, *, reader=None, episode_ids: Numbers = N
     ``episode_ids`` filter before any file is opened; None doesn't filter and an empty list
     keeps nothing. A file whose stem isn't a number fails the cast, as it should not be
     there. Names that start with ``_`` or ``.`` are skipped, as by any Spark listing.
+    ``options`` go to the listing; what opens the files in workers is the reader's ``Store``.
     """
     tasks, episode_ids = _listed(tasks, str), _listed(episode_ids, int)
     found = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=f"*{{{suffix},{video_suffix}}}", **(options or {})).load(path.rstrip("/")).select(file_uri("path").alias("path"))
@@ -90,10 +91,30 @@ def trajectory(episodes: DataFrame, fields: Sequence[str] = S.DEFAULT_TRAJECTORY
     return episodes.where(F.col("trajectory").isNotNull()).withColumn("__read", read("trajectory")).select(*_HEAD, *(named("__read").getField(f).alias(f) for f in fields), "video")
 
 
+def _chosen(decoder, uri: str, start_time: float, end_time: Limit, interval: Limit, is_key_frame: bool | None, width: Side, height: Side) -> Iterator[tuple[float, dict]]:
+    """(seconds, image) of the frames that are asked for, one at a time."""
+    due = start_time
+    for t, image, key in decoder.frames(uri, start_time):
+        if t is None or t < start_time - 1e-6:
+            continue
+        if end_time is not None and t >= end_time - 1e-6:
+            break
+        if is_key_frame is not None and key != is_key_frame:
+            continue
+        if interval is not None:
+            if t < due - 1e-6:
+                continue
+            due += interval * (1 + int((t - due + 1e-6) // interval))
+        pixels = resized(image, width, height)
+        yield t, {"height": pixels.shape[0], "width": pixels.shape[1], "nChannels": 3, "mode": "RGB", "data": pixels.astype("uint8").tobytes()}
+
+
 def camera_frames(episodes: DataFrame, *, decoder=None, height: Side = None, width: Side = None, sample_interval_seconds: Limit = None, is_key_frame: bool | None = None, end_time: Limit = None, start_time: float = 0) -> DataFrame:
     """Adds ``video_frames``: the frames of each row's video in a time range, resized; empty without a video.
 
-    ``is_key_frame`` keeps only key frames (True) or only others (False); with an interval, the first frame of each interval from ``start_time`` on is kept.
+    ``is_key_frame`` keeps only key frames (True) or only others (False); with an interval, the first frame of each
+    interval from ``start_time`` on is kept. All frames of a row lie in one cell, which can hold no more than 2 GB: for
+    whole videos take ``frame_rows``.
     """
     decoder = decoder or AvDecoder()
     if "video" not in episodes.columns:
@@ -102,22 +123,7 @@ def camera_frames(episodes: DataFrame, *, decoder=None, height: Side = None, wid
     kind = to_arrow_type(frames)
 
     def decode(uri: str | None) -> list[dict]:
-        out: list[dict] = []
-        due = start_time
-        for t, image, key in decoder.frames(uri, start_time) if uri is not None else ():
-            if t is None or t < start_time - 1e-6:
-                continue
-            if end_time is not None and t >= end_time - 1e-6:
-                break
-            if is_key_frame is not None and key != is_key_frame:
-                continue
-            if sample_interval_seconds is not None:
-                if t < due - 1e-6:
-                    continue
-                due += sample_interval_seconds * (1 + int((t - due + 1e-6) // sample_interval_seconds))
-            pixels = resized(image, width, height)
-            out.append({"height": pixels.shape[0], "width": pixels.shape[1], "nChannels": 3, "mode": "RGB", "data": pixels.astype("uint8").tobytes()})
-        return out
+        return [] if uri is None else [image for _, image in _chosen(decoder, uri, start_time, end_time, sample_interval_seconds, is_key_frame, width, height)]
 
     @F.arrow_udf(frames)
     def read(uris: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -125,3 +131,24 @@ def camera_frames(episodes: DataFrame, *, decoder=None, height: Side = None, wid
             yield pa.concat_arrays([pa.array([decode(u)], kind) for u in batch.to_pylist()] or [pa.array([], kind)])
 
     return episodes.withColumn("video_frames", read("video"))
+
+
+def frame_rows(episodes: DataFrame, *, decoder=None, height: Side = None, width: Side = None, sample_interval_seconds: Limit = None, is_key_frame: bool | None = None, end_time: Limit = None, start_time: float = 0) -> DataFrame:
+    """One row per frame of ``camera_frames``: the columns of its episode, frame (from 0), timestamp_s and image.
+
+    A worker holds one image at a time, whatever the length of a video; a row without a video has no frames.
+    """
+    decoder = decoder or AvDecoder()
+    if "video" not in episodes.columns:
+        raise ValueError(f"video is not among the columns {episodes.columns}")
+    image = to_arrow_type(S.IMAGE)
+    schema = T.StructType([*episodes.schema.fields, T.StructField("frame", T.LongType()), T.StructField("timestamp_s", T.DoubleType()), T.StructField("image", S.IMAGE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, uri in enumerate(batch.column("video").to_pylist()):
+                one = batch.slice(k, 1).column("row").flatten()
+                for n, (t, pixels) in enumerate(_chosen(decoder, uri, start_time, end_time, sample_interval_seconds, is_key_frame, width, height) if uri is not None else ()):
+                    yield pa.RecordBatch.from_arrays([*one, pa.array([n], pa.int64()), pa.array([t], pa.float64()), pa.array([pixels], image)], names=schema.names)
+
+    return episodes.select(F.struct(*map(named, episodes.columns)).alias("row"), "video").mapInArrow(run, schema)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import named
 from . import schemas as S
-from .readers import AvDecoder, segment_frames
+from .readers import AvDecoder, clocked
 
 VIDEO_PATH = "videos/{key}/chunk-{chunk:03d}/file-{file:03d}.mp4"
 
@@ -32,23 +34,46 @@ def read_episodes(spark: SparkSession, root: str, *, include_video_metadata: boo
 def read(spark: SparkSession, root: str, *, load_video_frames: str | None = None, decoder=None, video_path: str = VIDEO_PATH) -> DataFrame:
     """One row per frame; with ``load_video_frames`` the camera's frame is decoded into a column of that name.
 
-    Limit or filter after this call: the decoder is one expression per row, and Spark puts a limit or a filter on other columns below it.
+    The frames of an episode go to one task in order of their number, and its segment of the video is decoded once, up
+    to the last frame that is asked for; one image is held at a time. A null video or number gives a null image, a
+    number beyond the segment is an error. Limit or filter before decoding, with ``decoded``, where few are wanted.
     """
     frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/data")
     if load_video_frames is None:
         return frames
+    episodes = read_episodes(spark, root, include_video_metadata=True, video_path=video_path)
+    return decoded(frames, episodes, load_video_frames, decoder=decoder)
+
+
+def decoded(frames: DataFrame, episodes: DataFrame, key: str, *, decoder=None) -> DataFrame:
+    """``frames`` (episode_index, frame_index, ...) with the image of camera ``key``, by the episodes' video metadata."""
     decoder = decoder or AvDecoder()
-    key = load_video_frames
-    where = read_episodes(spark, root, include_video_metadata=True, video_path=video_path).select("episode_index", named(f"videos/{key}/video").alias("__video"), named(f"videos/{key}/from_timestamp").alias("__from"), named(f"videos/{key}/to_timestamp").alias("__to"))
-    kind = to_arrow_type(S.IMAGE)
-
-    @F.arrow_udf(S.IMAGE)
-    def decode(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for video, start, end, index in rows:
-            out = []
-            for v, a, b, i in zip(*(x.to_pylist() for x in (video, start, end, index)), strict=True):
-                pixels = segment_frames(decoder, v, a, b, [i])[0][0]
-                out.append({"height": pixels.shape[0], "width": pixels.shape[1], "nChannels": 3, "mode": "RGB", "data": pixels.tobytes()})
-            yield pa.array(out, kind)
-
-    return frames.join(where, "episode_index").withColumn(key, decode("__video", "__from", "__to", "frame_index")).drop("__video", "__from", "__to")
+    where = episodes.select(named("episode_index").alias("episode"), *(named(f"videos/{key}/{x}").alias(x) for x in ("video", "from_timestamp", "to_timestamp")))
+    whole = F.struct(*map(named, frames.columns)).alias("row")
+    rows = frames.select(whole, named("episode_index").alias("episode"), named("frame_index").alias("number")).join(where, "episode")
+    # one clock an episode: its rows side by side, in order
+    dealt = rows.repartition("episode").sortWithinPartitions("episode", "number")
+    out = T.StructType([*frames.schema.fields, T.StructField(key, S.IMAGE)])
+    image = to_arrow_type(S.IMAGE)
+    names = frames.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, at, clock, last = None, None, iter(()), None
+        for batch in batches:
+            asked = zip(*(batch.column(c).to_pylist() for c in ("episode", "video", "from_timestamp", "to_timestamp", "number")), strict=True)
+            for k, (episode, video, start, end, number) in enumerate(asked):
+                if video is None or number is None:
+                    pixels = None
+                else:
+                    if (episode, video) != open_ or number < at:
+                        open_, at, clock, last = (episode, video), -1, clocked(decoder, video, start, end), None
+                    while at < number:
+                        at, _, last = next(clock, (None, None, None))
+                        if at is None:
+                            raise ValueError(f"frame {number} isn't in [{start}, {end}) of {video}")
+                    pixels = last
+                mine = None if pixels is None else {"height": pixels.shape[0], "width": pixels.shape[1], "nChannels": 3, "mode": "RGB", "data": np.ascontiguousarray(pixels, np.uint8).tobytes()}
+                kept = batch.slice(k, 1).column("row")
+                yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array([mine], image)], names=[*names, key])
+
+    return dealt.mapInArrow(run, out)

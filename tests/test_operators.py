@@ -282,3 +282,111 @@ def test_matching_is_one_python_node(spark):
     df = spark.createDataFrame([], f"hands {S.HANDS.simpleString()}, state array<double>, extrinsics array<double>")
     plan = df.select(match_hands("hands", "state", "extrinsics").alias("m")).select("m.n_gt", "m.errs")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_the_report_scores_each_row_once(spark):
+    df = spark.createDataFrame([], f"label string, hands {S.HANDS.simpleString()}, state array<double>, extrinsics array<double>")
+    scored = df.select("label", match_hands("hands", "state", "extrinsics").alias("score"))
+    for got in (metrics.report(scored), metrics.report(metrics.by_method(scored, {"x": "score"}))):
+        assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_labels_without_a_score_are_not_reported(spark):
+    df = spark.createDataFrame([("a", None), ("b", (1, 1, [[0.0] * 6])), ("b", None)], f"label string, score {S.MATCH.simpleString()}")
+    assert [(r.label, r.n_gt, r.detect) for r in metrics.report(df).collect()] == [("b", 1, 100.0)]
+
+
+def test_odd_hands_and_cameras_match_nothing():
+    rng = np.random.default_rng(5)
+    state, camera, (left, right) = truth_row(rng)
+    short = {**left, "kp2d": left["kp2d"][:20]}
+    holes = {**left, "kp2d": [None, *left["kp2d"][1:]]}
+    nan = {**left, "kp2d": [[float("nan"), 1.0], *left["kp2d"][1:]]}
+    flat = [0.0] * 16
+    got = match_batch([[short, holes, nan, None, {**left, "kp2d": None}], [short, right], [left], [left], [left]], [state] * 5, [camera, camera, flat, [None, *camera[1:]], camera])
+    assert [(g["n_gt"], g["n_matched"]) for g in got] == [(2, 0), (2, 1), (0, 0), (0, 0), (2, 1)]
+    ok = np.stack([np.eye(4), np.zeros((4, 4)), np.full((4, 4), np.nan), np.diag([2.0, 1, 1, 1])])
+    inverse = G.inverted(ok)
+    assert np.allclose(inverse[[0, 3]], np.linalg.inv(ok[[0, 3]])) and np.isnan(inverse[1:3]).all()
+
+
+def test_rounding_to_six_places_is_that_of_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    ties = [k / 1e7 * 5 for k in range(1, 4000, 2)] + [1.5e9 + k * 5e-7 for k in range(400)] + [0.5 / 2**k for k in range(30)]
+    values = [*ties, *(-x for x in ties[::7]), *(k / 30 for k in range(500)), *(rng.random(2000) * 1e5), *(1.7e9 + rng.random(500)), 0.0, 8e15]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "t double")
+    got = [r.x for r in df.select(segments.six_places(F.col("t")).alias("x")).collect()]
+    assert got == [round(float(v), 6) for v in values] + [None]
+
+
+class Stuck:
+    """A model whose close never returns."""
+
+    def close(self):
+        threading.Event().wait()
+
+
+def test_models_close_in_time():
+    ran = []
+    assert H.closed_in_time(lambda: ran.append(1)) == "closed" and ran == [1]
+    assert H.closed_in_time(lambda: 1 / 0) == "closed"
+    assert H.closed_in_time(Stuck().close, seconds=0.05) == "abandoned"
+    assert H.closed_in_time(lambda: ran.append(2), alive=lambda: False) == "skipped" and ran == [1]
+
+
+def test_detectors_close_once_and_only_while_their_threads_live():
+    tracker = object.__new__(H.MediaPipe._Tracker)
+    ran = []
+
+    class Dead:
+        def is_alive(self):
+            return False
+
+    class Detector:
+        pass
+
+    tracker.detector = Detector()
+    tracker._close = lambda: ran.append(1)
+    assert tracker._alive() and tracker.close() == "closed" and tracker.close() == "closed" and ran == [1]
+    tracker.detector._lib = type("Lib", (), {"_executor": type("Pool", (), {"_threads": {Dead()}})()})()
+    tracker._close = lambda: ran.append(2)
+    assert tracker.close() == "skipped" and ran == [1]
+
+
+def test_the_renderer_is_a_placeholder(monkeypatch):
+    import sys
+
+    monkeypatch.delitem(sys.modules, "no_such_renderer", raising=False)
+    H.without_renderer("no_such_renderer")
+    from no_such_renderer import Mesh, OffscreenRenderer
+
+    class Mine(Mesh):
+        pass
+
+    assert OffscreenRenderer(1, 2).render(3) is not None and Mine() is not None
+    H.without_renderer("json")
+    assert sys.modules["json"] is json
+
+
+def test_tracking_as_a_table_and_its_resources(spark):
+    image = (2, 3, 3, "RGB", bytearray(range(18)))
+    df = spark.createDataFrame([(i, image if i % 3 else None) for i in range(40)], f"id int, `a.b` {S.IMAGE.simpleString()}").repartition(8)
+    got = H.track_table(df, "a.b", MeanHand(), most_tasks=2, batch=3)
+    assert got.columns == ["id", "a.b", "hands"] and got.rdd.getNumPartitions() == 2
+    assert {r.id: len(r.hands) for r in got.collect()} == {i: int(i % 3 > 0) for i in range(40)}
+    profile = H.gpu_profile(0.25)
+    assert profile.taskResources["gpu"].amount == 0.25 and profile.taskResources["cpus"].amount == 1
+    with pytest.raises(ValueError, match="share"):
+        H.gpu_profile(0)
+
+
+def test_lacking_weights_are_fetched_once(tmp_path):
+    (tmp_path / "from/pretrained_models").mkdir(parents=True)
+    for a in H.ASSETS:
+        (tmp_path / "from" / a).write_text("weights")
+    (tmp_path / "mine.pkl").write_text("hand")
+    for _ in range(2):
+        home = H.place_assets(str(tmp_path / "to"), str(tmp_path / "mine.pkl"), (tmp_path / "from").as_uri())
+        assert all((tmp_path / "to" / a).read_text() == "weights" for a in H.ASSETS) and home == str(tmp_path / "to")
+        for a in H.ASSETS:
+            (tmp_path / "from" / a).unlink(missing_ok=True)

@@ -1,11 +1,19 @@
+import io
+import os
+import sys
+from dataclasses import dataclass
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from kinespark.functions.attributes import plain
 from kinespark.sources import episodes as E
 from kinespark.sources import frame_datasets as D
 from kinespark.sources import schemas as S
-from kinespark.sources.readers import Hdf5Reader, NpzDecoder, NpzReader, resized, segment_frames
+from kinespark.sources.readers import Hdf5Reader, NpzDecoder, NpzReader, Store, resized, segment_frames
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers don't know this file
 
 N = 4
 HEAD = ["task", "episode_id", "metadata"]
@@ -130,3 +138,88 @@ def test_frame_dataset(spark, tmp_path):
     rows = D.read(spark, str(tmp_path), load_video_frames="cam.top", decoder=NpzDecoder()).sort("episode_index", "frame_index").collect()
     assert [r["cam.top"].data[0] for r in rows] == [0, 40, 80, 120, 160]
     assert D.read(spark, str(tmp_path)).columns == ["episode_index", "frame_index"]
+
+
+@dataclass(frozen=True)
+class Counting(NpzDecoder):
+    """Notes each frame that it decodes in a file beside the video."""
+
+    def frames(self, uri, start=0.0):
+        for x in super().frames(uri, start):
+            with open(f"{uri}.log", "a") as f:
+                f.write("x")
+            yield x
+
+
+def test_each_segment_is_decoded_once(spark, tmp_path):
+    (tmp_path / "videos/cam/chunk-000").mkdir(parents=True)
+    video = tmp_path / "videos/cam/chunk-000/file-000.mp4"
+    clip(video, n=60, fps=10, step=4)
+    rows = [(0, i) for i in range(30)] + [(1, i) for i in (0, 7, 7, 29)] + [(2, 0), (0, None)]
+    spark.createDataFrame(rows, "episode_index long, frame_index long").selectExpr("*", "'x' AS `a.b`").repartition(3).write.parquet(f"{tmp_path}/data")
+    spark.createDataFrame([(0, 0, 0, 0.0, 3.0), (1, 0, 0, 3.0, 6.0), (2, None, 0, 0.0, 1.0)], "episode_index long, `videos/cam/chunk_index` long, `videos/cam/file_index` long, `videos/cam/from_timestamp` double, `videos/cam/to_timestamp` double").write.parquet(f"{tmp_path}/meta/episodes")
+    frames = spark.read.parquet(f"{tmp_path}/data")
+    meta = D.read_episodes(spark, str(tmp_path), include_video_metadata=True).selectExpr("*", f"CASE WHEN episode_index < 2 THEN '{video}' END AS v").drop("videos/cam/video").withColumnRenamed("v", "videos/cam/video")
+    got = D.decoded(frames, meta, "cam", decoder=Counting())
+    assert got.columns == ["episode_index", "frame_index", "a.b", "cam"]
+    out = sorted(((r.episode_index, -1 if r.frame_index is None else r.frame_index), None if r.cam is None else r.cam.data[0]) for r in got.collect())
+    want = sorted(((e, -1 if i is None else i), None if e == 2 or i is None else 4 * (30 * e + i)) for e, i in rows)
+    assert out == want
+    # each segment from its start to its last asked frame, once; the decoder starts a second before it
+    assert os.path.getsize(f"{video}.log") <= 30 + 40
+    with pytest.raises(Exception, match="isn't in"):
+        D.decoded(spark.createDataFrame([(0, 30)], "episode_index long, frame_index long"), meta, "cam", decoder=NpzDecoder()).collect()
+
+
+def test_frame_rows_are_the_frames_of_the_cells(spark, tmp_path):
+    clip(tmp_path / "v.mp4", n=9, fps=10, step=20)
+    df = spark.createDataFrame([(0, f"{tmp_path}/v.mp4", 1), (1, None, 2)], "id int, video string, `a.b` int")
+    for asked in ({}, {"start_time": 0.2, "end_time": 0.7, "width": 8}, {"sample_interval_seconds": 0.3, "is_key_frame": False}):
+        rows = E.frame_rows(df, decoder=NpzDecoder(), **asked).sort("frame").collect()
+        cell = E.camera_frames(df, decoder=NpzDecoder(), **asked).where("id = 0").first().video_frames
+        assert [r.image for r in rows] == cell and [r.frame for r in rows] == list(range(len(cell))) and {(r.id, r["a.b"]) for r in rows} == {(0, 1)}
+    assert E.frame_rows(df.where("id = 1"), decoder=NpzDecoder()).count() == 0
+    with pytest.raises(ValueError, match="video"):
+        E.frame_rows(df.select("id"), decoder=NpzDecoder())
+
+
+class Blob:
+    """A file handle as an object store gives it."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def open(self):
+        return io.BytesIO(self.data)
+
+
+@dataclass(frozen=True)
+class Remote(Store):
+    """Names of one scheme, kept under a folder; needs its key."""
+
+    def open(self, file):
+        if str(file).startswith("mem://"):
+            assert self.options["key"] == "secret"
+            return super().open(self.options["root"] + str(file)[5:])
+        return super().open(file)
+
+
+def test_stores_open_paths_uris_handles_and_streams(spark, tmp_path):
+    (tmp_path / "a b.npz").write_bytes(b"data")
+    for given in (f"{tmp_path}/a b.npz", f"file://{tmp_path}/a%20b.npz", Blob(b"data"), io.BytesIO(b"data")):
+        with Store().open(given) as f:
+            assert f.read() == b"data"
+    store = Store({"access_key": "secret"})
+    assert "secret" not in repr(store) and "secret" not in repr(NpzReader(store))
+    for uri in ("s3://bucket/x", "s3a://bucket/x"):  # the options are those of the filesystem
+        with pytest.raises(TypeError, match="nonsense"):
+            Store({"nonsense": 1}).open(uri)
+    clip(tmp_path / "v", n=4)
+    with open(tmp_path / "v", "rb") as f:
+        frames, _ = segment_frames(NpzDecoder(), Blob(f.read()), 0.0, 1.0, [2])
+    assert frames[0, 0, 0, 0] == 128
+    episode(tmp_path, "t", 0)
+    remote = Remote({"key": "secret", "root": str(tmp_path)})
+    df = spark.createDataFrame([("t", 0, "mem:/t/0.npz".replace(":/", "://"), "mem://v")], "task string, episode_id long, trajectory string, video string").selectExpr("*", "null AS metadata")
+    assert np.array(E.trajectory(df, ["transforms/hip"], reader=NpzReader(remote)).first()["transforms/hip"]).shape == (N, 4, 4)
+    assert E.frame_rows(df, decoder=NpzDecoder(remote)).count() == 4
