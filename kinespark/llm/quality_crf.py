@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import clear_of, named
+from .workspace import clear_of, named, packed, unpacked
 
 CONTENT_SHARE = 0.5
 TRAIN_DOCS, TRAIN_LINES, TRAIN_STEPS = 1000, 512, 160
@@ -297,16 +297,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_verdicts(theta, share), schema).withColumnRenamed("doc", id_col)
 
 
-def _passing(theta: np.ndarray, share: float, text_col: str):
+def _passing(theta: np.ndarray, share: float):
     pairs = theta[_N:].reshape(2, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in at.each_text(batches, text_col):
+        for batch, raw, offsets in at.each_text(batches):
             got = lines_of(raw, offsets)
             content = viterbi(got.features @ theta[:_N], got.rows, pairs)
             inside = np.diff(np.r_[0, np.cumsum(np.where(content, got.chars, 0))][got.rows])
             stay = (got.n_words >= MIN_WORDS) & (100 * got.n_repeat_words <= MOST_REPEATED * got.n_words) & (inside / np.maximum(1, got.word_chars) >= share)
-            yield batch.filter(pa.array(stay))
+            yield batch.select(["row"]).filter(pa.array(stay))
 
     return run
 
@@ -315,4 +315,6 @@ def passing(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """The rows of ``docs`` that are kept, with all their columns."""
     clear_of(docs, id_col, text_col)
     theta = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    return docs.mapInArrow(_passing(theta, share, text_col), docs.schema)
+    rows = packed(docs)
+    kept = rows.select("row", F.col("row").getField(text_col).alias("text")).mapInArrow(_passing(theta, share), rows.schema)
+    return unpacked(kept, docs)
