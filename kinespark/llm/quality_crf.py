@@ -9,7 +9,8 @@ and no base rule rejects it.
 The weights are the maximum a posteriori ones for labelled documents: each line takes its
 document's label, the prior is a Gaussian around the hand-set ``PRIOR``. Labels within a
 document never change, so a chain trained on documents as they are would learn that they
-can't; half of the sample is therefore joined in pairs of unlike labels, in either order.
+can't; half of the sample is therefore joined with documents of the other label, in either
+order, those of the rarer label being used more than once.
 The sample is a bounded number of labelled rows: at most ``TRAIN_DOCS`` documents of each
 label, in hash order; one of more than ``TRAIN_LINES`` lines is left out of it as a whole.
 Scoring covers every line of every document. Decoding and training run over all chains at
@@ -28,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -243,16 +245,20 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chains(good: list[np.ndarray], bad: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training lines, labels and chains: of each two documents of a label one stands alone, the other is joined with one of the other label."""
-    parts: list[list[tuple[np.ndarray, int]]] = [[(x, y)] for label, y in ((good, 1), (bad, 0)) for x in label[::2]]
-    pairs = list(zip(good[1::2], bad[1::2], strict=False))
-    parts += [[(g, 1), (b, 0)] if k % 2 else [(b, 0), (g, 1)] for k, (g, b) in enumerate(pairs)]
-    parts += [[(x, y)] for label, y in ((good, 1), (bad, 0)) for x in label[1::2][len(pairs) :]]
+    """Training lines, labels and chains.
+
+    Every other document of the label that has more of them is joined with one of the other label, before or after it,
+    which are taken in turn, again and again; all other documents are chains of their own.
+    """
+    (rich, y), (scarce, z) = sorted(((good, 1), (bad, 0)), key=lambda x: -len(x[0]))
+    joined = rich[1::2] if scarce else []
+    parts = [[(x, y)] for x in (rich[::2] if scarce else rich)] + [[(x, z)] for x in scarce]
+    parts += [[(r, y), (s, z)] if k % 2 else [(s, z), (r, y)] for k, (r, s) in enumerate(zip(joined, cycle(scarce), strict=False))]
     if not parts:
         return np.zeros((0, _N)), np.zeros(0), np.zeros(1, np.int64)
-    x = np.concatenate([x for p in parts for x, _ in p])
-    y = np.concatenate([np.full(len(x), y) for p in parts for x, y in p])
-    return x, y, np.r_[0, np.cumsum([sum(len(x) for x, _ in p) for p in parts])]
+    lines = np.concatenate([x for p in parts for x, _ in p])
+    labels = np.concatenate([np.full(len(x), label) for p in parts for x, label in p])
+    return lines, labels, np.r_[0, np.cumsum([sum(len(x) for x, _ in p) for p in parts])]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> np.ndarray:

@@ -39,7 +39,7 @@ from .workspace import clear_of, groups_for, named, packed, stored
 WINDOW = 35
 #: Perfect difference sets: each remainder is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-BYTES_A_PART = 8 << 20
+BYTES_A_PART = 24 << 20
 _FLUSH = 600_000
 _BLOB = "part int, known boolean, a binary, b binary, place binary, per binary, k1 binary, k2 binary"
 
@@ -274,7 +274,7 @@ def _removed(window: int, with_text: bool):
 def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, with_text: bool) -> DataFrame:
     """k1, k2, n_removed and what is left (text or digest) of each row that has a repeated window."""
     period, cover, length = cover_for(window)
-    parts = groups_for(docs, text_col, BYTES_A_PART, 12)
+    parts = groups_for(docs, text_col, BYTES_A_PART, 4)
     keyed = _keyed(docs, id_col, text_col)
     hit = "k1 long, k2 long, place binary"
     anchors = keyed.mapInArrow(_anchors(parts, period, cover, length), _BLOB).repartitionById(parts, F.col("part")).mapInArrow(_shared, hit)

@@ -37,11 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, in columnar files: for wide rows."""
+    """As ``cut``, in columnar files: for wide rows.
+
+    Spark deletes the shuffle files of what was computed only once the driver's garbage is collected, so that is asked
+    for; what refers to them goes in the first round, they in the second.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     _keep(path)
     df.write.parquet(path)
+    for _ in range(2):
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

