@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, in columnar files: for wide rows.
 
     Spark deletes the shuffle files of what was computed only once the driver's garbage is collected, so that is asked
-    for; what refers to them goes in the first round, they in the second.
+    for; what refers to them goes in the first round, they in a later one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     _keep(path)
     df.write.parquet(path)
-    for _ in range(2):
+    for _ in range(3):
         spark._jvm.System.gc()
+        time.sleep(0.1)
     return spark.read.schema(df.schema).parquet(path)
 
 
