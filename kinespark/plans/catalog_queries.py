@@ -434,7 +434,7 @@ register_method("mean", MeanHand)
 @query(
     """WITH b AS (SELECT doc_id, CASE WHEN text <> '' THEN octet_length(encode(text)) END AS n, hex(encode(text)) AS h FROM documents)
 SELECT doc_id, (n IS NOT NULL)::BIGINT AS hands, n::DOUBLE AS y,
-       round(CASE WHEN n IS NOT NULL THEN list_avg(list_transform(range(0, n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::INT))::FLOAT::DOUBLE END, 2) AS x FROM b"""
+       round(CASE WHEN n IS NOT NULL THEN list_avg(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::INT))::FLOAT::DOUBLE END, 2) AS x FROM b"""
 )
 def track_hands_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a picture one pixel wide, null if it has no byte, through the tracking operator with a model-free method."""
