@@ -56,13 +56,25 @@ class HandsDemo:
         out: Cells = [
             (False, f"# Hand tracking with {' and '.join(methods)}\n\nReads frames, tracks hands in each, and shows the keypoints. Every method gives the same columns."),
             (False, "## Setup"),
-            (True, f"from pyspark.sql import SparkSession\n\nfrom kinespark.operators.hands import track_hands\nfrom kinespark.sources import frame_datasets\n\nspark = {master}"),
-            (False, "## Read\n\nOne row per frame. The limit comes before tracking, so only these frames are decoded."),
-            (True, f'DATASET, IMAGE, LIMIT = {self.dataset!r}, {self.image_column!r}, {self.limit}\ndf = frame_datasets.read(spark, DATASET, load_video_frames=IMAGE).limit(LIMIT)'),
+            (True, f"from pyspark.sql import SparkSession\n\nfrom kinespark.functions.columns import named\nfrom kinespark.operators.hands import track_hands\nfrom kinespark.sources import frame_datasets\n\nspark = {master}"),
+            (False, "## Read\n\nOne row per frame. The limit comes before decoding, so only these frames are decoded."),
+            (
+                True,
+                f"DATASET, IMAGE, LIMIT = {self.dataset!r}, {self.image_column!r}, {self.limit}\n"
+                'frames = frame_datasets.read(spark, DATASET).orderBy("episode_index", "frame_index").limit(LIMIT)\n'
+                "df = frame_datasets.decoded(frames, frame_datasets.read_episodes(spark, DATASET, include_video_metadata=True), IMAGE)",
+            ),
             (False, "## Track\n\nLazy: nothing runs before the next step."),
             (True, tracks),
             (False, "## Look"),
             (True, f'df.select("episode_index", "frame_index", {shown}).show()'),
+            (
+                True,
+                "from pathlib import Path\n\nfrom kinespark.cli import drawing\n\n"
+                f'rows = df.select(named(IMAGE).alias("image"), "{column(methods[0])}").collect()\n'
+                f'pictures = [drawing.with_hands(drawing.pixels(r.image), r["{column(methods[0])}"]) for r in rows if r.image]\n'
+                'Path("hands.png").write_bytes(drawing.png(drawing.montage(pictures)))',
+            ),
         ]
         if self.runtime == "cluster":
             out.append((False, "## On a cluster\n\nRun with `spark-submit --conf spark.executor.resource.gpu.amount=1 --conf spark.task.resource.gpu.amount=0.25 demo.py`."))
@@ -109,6 +121,13 @@ class RewardsDemo:
             ),
             (False, "## Score"),
             (True, 'scored = episodes.withColumn("rewards", score_rewards("task", "length", "from_ts", "to_ts", "video", url=URL, max_frames=MAX_FRAMES, headers=HEADERS)).persist()\nreward_curve(scored, keep=("episode_index",)).show()'),
+            (
+                True,
+                "from pathlib import Path\n\nfrom kinespark.cli import drawing\n\ncurves = {}\n"
+                'for r in reward_curve(scored, keep=("episode_index", "task")).orderBy("episode_index", "index").collect():\n'
+                '    curves.setdefault(f"{r.episode_index}: {r.task}", []).append((r.timestamp_s, r.reward_score))\n'
+                'Path("progress.svg").write_text(drawing.curves_svg(curves))',
+            ),
             (False, "## Episodes in doubt\n\nFinal success below one half."),
             (True, 'doubtful(scored).select("episode_index", "task").show()'),
         ]

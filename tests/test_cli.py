@@ -59,3 +59,32 @@ def test_rewards_settings():
     compile(script(RewardsDemo().cells()), "demo.py", "exec")
     with pytest.raises(ValueError):
         RewardsDemo(episodes=0).cells()
+
+
+def test_pictures():
+    import struct
+    import zlib
+    from xml.etree import ElementTree
+
+    import numpy as np
+
+    from kinespark.cli import drawing as D
+
+    image = {"height": 20, "width": 30, "nChannels": 3, "mode": "RGB", "data": bytes(20 * 30 * 3)}
+    points = [[2.0, 3.0]] + [[10.0 + k, 12.0] for k in range(18)] + [[float("nan"), 1.0], [900.0, -900.0]]
+    black = D.pixels(image)
+    drawn = D.with_hands(black, [{"handedness": "left", "kp2d": points}, {"handedness": "?", "kp2d": points[:2]}])
+    assert not black.any() and (drawn[3, 2] == D.COLOURS["unknown"]).all() and (drawn[12, 25] == D.COLOURS["left"]).all()
+    assert (D.with_hands(black, None) == black).all() and len(D.BONES) == 20 and (0, 5) in D.BONES and (7, 8) in D.BONES
+    truth = D.with_truth(black, np.array([[[5.0, 5], [9, 9], [9, 5], [5, 9], [1, 1], [np.nan, 2]]]))
+    assert (truth[7, 7] == D.COLOURS["truth"]).all() and (truth[9, 9] == D.COLOURS["truth"]).all()
+    whole = D.montage([black, truth[:5, :5], drawn], columns=2)
+    assert whole.shape == (42, 62, 3) and (whole[21, 5] == 255).all() and (whole[22:42, :30] == drawn).all() and D.montage([]).shape == (1, 1, 3)
+    file = D.png(whole)
+    assert file[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", file[16:24]) == (62, 42)
+    at = file.index(b"IDAT")
+    size = struct.unpack(">I", file[at - 4 : at])[0]
+    raw = np.frombuffer(zlib.decompress(file[at + 4 : at + 4 + size]), np.uint8).reshape(42, -1)
+    assert (raw[:, 1:].reshape(whole.shape) == whole).all()
+    tree = ElementTree.fromstring(D.curves_svg({"a < b": [(0.0, 0.1), (1.0, 2.0)], "c": []}))
+    assert len(tree.findall("{http://www.w3.org/2000/svg}polyline")) == 2 and ElementTree.fromstring(D.curves_svg({})) is not None

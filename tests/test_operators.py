@@ -177,6 +177,9 @@ def server():
         def do_POST(self):
             body = self.rfile.read(int(self.headers["Content-Length"]))
             seen.append((self.path, self.headers.get("X-Key"), body))
+            if self.headers.get("X-Key") == "flaky" and len(seen) < 3 or self.headers.get("X-Key") == "refused":
+                self.send_error(503 if self.headers["X-Key"] == "flaky" else 403)
+                return
             if self.headers.get("X-Key") == "bad":
                 self.send_error(500)
                 return
@@ -238,6 +241,20 @@ def test_failures_raise_or_become_null(episode, server):
         episode.withColumn("to_ts", F.lit(0.1)).select(score_rewards(*ARGS, url=url, decoder=NpzDecoder())).collect()
 
 
+def test_a_failing_server_is_asked_again_and_a_refusal_is_not(server, monkeypatch):
+    from kinespark.operators import rewards
+
+    monkeypatch.setattr(rewards, "FIRST_WAIT_S", 0.01)
+    url, seen = server
+    got = rewards.post(url, b"x", "{}", headers={"X-Key": "flaky"}, retries=4)
+    assert parse_response(got)[1] == [0.5] * 8 and len(seen) == 3
+    with pytest.raises(Exception, match="403"):
+        rewards.post(url, b"x", "{}", headers={"X-Key": "refused"}, retries=4)
+    assert len(seen) == 4
+    with pytest.raises(Exception, match="refused|Connection"):
+        rewards.post("http://127.0.0.1:9", b"x", "{}", retries=1)
+
+
 def test_request_and_response():
     npy, text = build_request(np.zeros((8, 4, 4, 3), np.uint8), "go")
     told = json.loads(text)
