@@ -50,6 +50,7 @@ SKETCHES, TAKE, PAIR = 24, 2, 2
 LANES, PARITY = 128, 512
 SIGNATURE = LANES + PARITY // 8  # bytes
 HOT, BLOCK = 20_000, 10_000
+BAND = 64
 STARS, SEEN = 8, 16  # leaders a cell; texts that each is compared with to find a central one
 
 _DROP = at.SPACE.copy()
@@ -395,7 +396,14 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> int:
         if straight <= 2:  # no shift is cheaper
             return straight if straight <= most else -1
         most = min(most, straight)
-    got = banded_distance(x.tolist(), y.tolist(), most)
+    a, b = x.tolist(), y.tolist()
+    band = BAND
+    while band < most:  # a narrow band is enough for close texts, however long
+        got = banded_distance(a, b, band)
+        if got <= band:
+            return got
+        band *= 4
+    got = banded_distance(a, b, most)
     return got if got <= most else -1
 
 

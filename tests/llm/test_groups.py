@@ -44,6 +44,23 @@ def test_banded_distance_is_exact_within_the_band():
             assert order_minhash.banded_distance(a, b, most) == min(d, most + 1)
 
 
+def test_linked_is_exact_whatever_the_bands(monkeypatch):
+    monkeypatch.setattr(order_minhash, "BAND", 1)
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a = rng.integers(0, 30, int(rng.integers(1, 60))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 14))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = rng.integers(0, 30, int(rng.integers(0, 2))).tolist()
+        d, most = edit_distance(a, b), int(0.2 * max(len(a), len(b)) + 1e-9)
+        assert order_minhash.linked(np.array(a), np.array(b, dtype=int), 0.8) == (d if d <= most else -1)
+    long = rng.integers(0, 2**60, 60_000)
+    other = np.delete(np.insert(long, 40_000, [1, 2, 3]), 7)
+    start = time.perf_counter()
+    assert order_minhash.linked(long, other, 0.8) == 4 and time.perf_counter() - start < 20
+
+
 def test_pairs_of_cells():
     rng = np.random.default_rng(1)
     for _ in range(150):
