@@ -14,16 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geometry as G
-from ..functions.columns import finite, gather, last, list_join, named, parent_dir, stem, with_suffix
+from ..functions.columns import file_uri, finite, gather, last, list_join, named, parent_dir, stem, with_suffix
 from ..functions.sampling import sample_indexes
 from ..operators import metrics, segments
-from ..operators.hands import register_method, track_hands
+from ..operators.hands import model_output_to_hands, register_method, track_hands
 from ..operators.matching import match_hands
 from ..operators.rewards import score_rewards
-from ..sources import episodes
+from ..sources import episodes, frame_datasets
 from ..sources.readers import NpzDecoder, NpzReader
+from ..sources.schemas import HAND
 from . import sample_release
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,3 +494,62 @@ def score_rewards_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = filmed.withColumn("rewards", score_rewards("task", "length", F.lit(0.0), F.lit(10.0), "video", url=sample_release.fake_server(spark), decoder=NpzDecoder()))
     rows = scored.select("task", "episode_id", F.posexplode(F.arrays_zip("rewards.reward_frames", "rewards.reward_score", "rewards.robometer_success")).alias("place", "x"))
     return rows.select("task", "episode_id", "x.reward_frames.index", "x.reward_frames.timestamp_s", F.round("x.reward_score", 6).alias("reward_score"), F.round("x.robometer_success", 6).alias("success"))
+
+
+@query(
+    f"WITH {_RELEASE_SQL}, f AS (SELECT n, unnest(range(0, frames)) AS k FROM r) "
+    "SELECT n::BIGINT AS episode_index, k::BIGINT AS frame_index, k / 10.0::DOUBLE AS timestamp, 2 AS height, ((n * 7 + k * 5) % 256)::BIGINT AS grey FROM f"
+)
+def frame_dataset_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of a robot dataset on disk, each with its image out of a video that several episodes share."""
+    rows = frame_datasets.read(spark, sample_release.frame_dataset(spark, sf_dir), load_video_frames="cam.top", decoder=NpzDecoder())
+    image = named("cam.top")
+    return rows.select("episode_index", "frame_index", "timestamp", image["height"].alias("height"), F.conv(F.hex(F.substring(image["data"], 1, 1)), 16, 10).cast("long").alias("grey"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS n, n_regionkey AS r, n_name, 3 + n_nationkey % 11 AS frames FROM nation),
+e AS (SELECT *, coalesce(sum(frames) OVER (PARTITION BY r ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM n)
+SELECT n::BIGINT AS episode_index, lower(n_name) || '; go on' AS task, frames::BIGINT AS length, 'file-00' || r || '.mp4' AS file, (begin / 10)::DOUBLE AS from_ts, ((begin + frames) / 10)::DOUBLE AS to_ts FROM e"""
+)
+def frame_dataset_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its episodes, with the video that holds each and where."""
+    rows = frame_datasets.read_episodes(spark, sample_release.frame_dataset(spark, sf_dir), include_video_metadata=True)
+    of = lambda x: named(f"videos/cam.top/{x}")
+    return rows.select("episode_index", list_join("tasks").alias("task"), "length", F.element_at(F.split(of("video"), "/"), -1).alias("file"), of("from_timestamp").alias("from_ts"), of("to_timestamp").alias("to_ts"))
+
+
+@query(
+    f"WITH {_V_SQL}, p AS (SELECT vec_id, v, 2 * (label % 2) - 1 AS s, v[3] + 1000.0 / (100 + 1e-9) AS z FROM v) "
+    "SELECT vec_id, CASE WHEN s = 1 THEN 'right' ELSE 'left' END AS handedness, round((500 * (s * v[1] + s * v[4]) / z + 320)::FLOAT::DOUBLE, 2) AS x, "
+    "round((500 * (v[2] + v[5]) / z + 240)::FLOAT::DOUBLE, 2) AS y, round((s * v[1])::FLOAT::DOUBLE, 4) AS kp3d_x FROM p"
+)
+def mesh_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point and a crop camera of a mesh model, from the numbers of a vector, as a hand in the full image; left ones are un-mirrored."""
+    kind = to_arrow_type(HAND)
+
+    @F.arrow_udf(HAND)
+    def placed(v: pa.Array, right: pa.Array) -> pa.Array:
+        x, n = np.array(v.to_pylist(), dtype=float).reshape(len(v), -1), len(v)
+        cameras = np.column_stack([np.ones(n), x[:, 3:5]])
+        hands = model_output_to_hands(right.to_numpy(zero_copy_only=False), np.full(n, 0.9), cameras, x[:, None, :3], np.tile([320.0, 240.0], (n, 1)), np.full(n, 100.0), np.array([640.0, 480.0]), 500.0)
+        return pa.array(hands, kind)
+
+    got = _vectors(spark, sf_dir).select("vec_id", placed("v", F.col("label") % 2).alias("h"))
+    at = lambda c, k: F.round(F.col(f"h.{c}")[0][k].cast("double"), 4 if c == "kp3d" else 2)
+    return got.select("vec_id", "h.handedness", at("kp2d", 0).alias("x"), at("kp2d", 1).alias("y"), at("kp3d", 0).alias("kp3d_x"))
+
+
+@query(r"""SELECT page_id, regexp_replace('file:' || path, '^(file:/+|/)', 'file:///') AS one, regexp_replace(path, '^(file:/+|/)', 'file:///') AS two, url AS three
+FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '/') AS path FROM pages)""")
+def file_uri_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as Spark and as the shell write them in the one form of the catalog; other schemes stay."""
+    path = F.regexp_replace("url", "^[a-z]+://", "/")
+    return _table(spark, sf_dir, "pages").select("page_id", file_uri(F.concat(F.lit("file:"), path)).alias("one"), file_uri(path).alias("two"), file_uri("url").alias("three"))
+
+
+@query("SELECT c_custkey, c_custkey AS again, c_nationkey::BIGINT + 1 AS next FROM customer")
+def strict_cast_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cast to numbers, where text that isn't one would fail; a struct taken apart and a column left out."""
+    held = _table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_custkey").cast("string").alias("again"), (F.col("c_nationkey").cast("long") + 1).alias("next")).alias("s"))
+    return held.select("c_custkey", "s.*").select("c_custkey", F.col("again").cast(held.schema["c_custkey"].dataType).alias("again"), "next")

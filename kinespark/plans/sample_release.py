@@ -44,14 +44,19 @@ def video_file(nation: int) -> bytes:
     return out.getvalue()
 
 
+def release_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can read."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='kinespark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def release(spark: SparkSession, sf_dir: str) -> str:
     """Write the release, 25 episodes whatever the scale, into the folder that all executors share, and name its place."""
     from pyarrow import fs
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"{(shared or tempfile.mkdtemp(prefix='kinespark-')).rstrip('/')}/release-{uuid.uuid4().hex}"
+    root = release_folder(spark, "release")
     system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "r_name").collect()
     for r in rows:
@@ -64,6 +69,37 @@ def release(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def frame_dataset(spark: SparkSession, sf_dir: str) -> str:
+    """The same episodes as a robot dataset: frame and episode tables, and a video file a region that holds its episodes one after another.
+
+    Nations of a region follow each other by number; a frame of one is as grey as in its own video.
+    """
+    from pyarrow import fs
+
+    root = release_folder(spark, "dataset")
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", "n_name").sort("n_nationkey").collect()
+    ends: dict[int, int] = {}
+    shots: dict[int, list[np.ndarray]] = {}
+    episodes, frames = [], []
+    for r in nations:
+        n, begin = frames_of(r.n_nationkey), ends.get(r.n_regionkey, 0)
+        ends[r.n_regionkey] = begin + n
+        shots.setdefault(r.n_regionkey, []).extend(np.full((2, 3, 3), grey_of(r.n_nationkey, k), np.uint8) for k in range(n))
+        episodes.append((r.n_nationkey, [r.n_name.lower(), "go on"], n, 0, r.n_regionkey, begin / FPS, (begin + n) / FPS))
+        frames += [(r.n_nationkey, k, k / FPS) for k in range(n)]
+    system.create_dir(f"{base}/videos/cam.top/chunk-000", recursive=True)
+    for region, images in shots.items():
+        out = io.BytesIO()
+        np.savez(out, frames=np.stack(images), seconds=np.arange(len(images)) / FPS)
+        with system.open_output_stream(f"{base}/videos/cam.top/chunk-000/file-{region:03d}.mp4") as f:
+            f.write(out.getvalue())
+    kinds = "chunk_index long", "file_index long", "from_timestamp double", "to_timestamp double"
+    spark.createDataFrame(episodes, "episode_index long, tasks array<string>, length long, " + ", ".join(f"`videos/cam.top/{k.split()[0]}` {k.split()[1]}" for k in kinds)).write.parquet(f"{root}/meta/episodes")
+    spark.createDataFrame(frames, "episode_index long, frame_index long, timestamp double").write.parquet(f"{root}/data")
+    return root
+
+
 class _Answers(BaseHTTPRequestHandler):
     """Progress is the share of frames up to each, success the grey of a frame over 255."""
 
