@@ -18,8 +18,10 @@ distances to it sum to no more than the least length of the group allows are lin
 an alignment; their links are counted from a histogram of distances. Only the pairs that
 these bounds leave open, and candidates with different pivots, are aligned. So ``n_links``
 counts the links to all different texts that are candidates or that the bound proves. A run
-of more than ``HOT`` texts is dealt to cells so that each pair of it meets in just one.
-Classes are the connected components of the links.
+of more than ``HOT`` texts, such as the pages of one template, is replaced by runs of equal
+rare words, of which linked texts share one for certain; where even those are as large, they
+are dealt to cells so that each pair meets in just one. Classes are the connected components
+of the links.
 
 Defined results: rows of equal text share a class, whatever their ids; texts without a word
 (after normalising) link to nothing but equal texts; each null text is a class of its own,
@@ -321,6 +323,35 @@ def _candidates(threshold: float):
     return run
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each labelled word of a text: rep, n (words), word."""
+    for batch, raw, offsets in at.each_text(batches):
+        words = normal_words(raw, offsets)
+        row = words.row_of()
+        word = _labelled(words.hashes(), row).view(np.int64) if len(row) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(words.counts[row], pa.int32()), pa.array(word)], names=["rep", "n", "word"])
+
+
+def _parted(runs: DataFrame, texts: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+    """Runs (key, rep, n, size) in which those of more than ``HOT`` texts are replaced by runs of equal rare words.
+
+    Linked texts share ``threshold`` of the longer one's labelled words. So, in whatever order all words are put, a
+    text's first n - ceil(threshold * n) + 1 of them hold one that is among the first of any text linked to it. With the
+    rarest words first, texts that share but a template, which is common, have nothing in common there: work on them
+    grows with their number, not its square. No link is lost, and runs that are still hot are dealt to cells.
+    """
+    hot = cut(runs.where(F.col("size") > HOT).select("rep").distinct())
+    if not hot.take(1):
+        return runs
+    words = stored(_texts_of(hot, texts, keyed).select("rep", "text").mapInArrow(_labels, "rep long, n int, word long"))
+    many = words.groupBy("word").agg(F.count("*").alias("many"))
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("many", "word"))
+    first = words.join(many, "word").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(threshold * F.col("n") - F.lit(1e-9)) + 1)
+    rows = first.select(F.xxhash64("word", F.lit(19)).alias("key"), "rep", "n")
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    return runs.where(F.col("size") <= HOT).unionByName(rows.join(sizes, "key").select(runs.columns))
+
+
 def _dealt(runs: DataFrame) -> DataFrame:
     """Runs (key, rep, n, size) as cells (key, rep, n, side) so that every pair of a run counts in just one cell.
 
@@ -456,13 +487,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(text.isNotNull()).select(named(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
 
 
+def _texts_of(wanted: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(rep, text), one row per distinct text that is wanted (rep); of its copies, one with the id that stands for them."""
+    mine = texts.select("rep", "t1", "t2", "least").join(wanted, "rep")
+    return keyed.join(mine, ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least"))).select("rep", "text").dropDuplicates(["rep"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b, distance) among pairs (a, b)."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
-    # one row per distinct text that has a candidate; of its copies, those with the id that stands for them
-    mine = texts.select("rep", "t1", "t2", "least").join(wanted, "rep")
-    words = stored(keyed.join(mine, ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("least"))).select("rep", "text").dropDuplicates(["rep"]))
+    words = stored(_texts_of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct(), texts, keyed))
     both = pairs.join(words.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(words.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_aligned(threshold), "a long, b long, distance int"))
 
@@ -526,7 +560,7 @@ def graph(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     runs = spread.join(sizes, "key")
     balls, stars_ = _pivots(runs, texts, keyed, threshold)
     placed = texts.select("rep", "signs").join(balls, "rep", "left").select("rep", "signs", F.coalesce("ball", "rep").alias("ball"), F.coalesce("away", F.lit(0)).alias("away"), F.coalesce("near", F.lit(0)).alias("near"))
-    rows = _dealt(runs).join(placed, "rep").select("key", "n", "rep", "side", "signs", "ball", "away", "near")
+    rows = _dealt(_parted(runs, texts, keyed, threshold)).join(placed, "rep").select("key", "n", "rep", "side", "signs", "ball", "away", "near")
     pairs = rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_candidates(threshold), "a long, b long").distinct()
     known = stars_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").dropDuplicates(["a", "b"])
     found = _verified(pairs.join(known, ["a", "b"], "left_anti"), texts, keyed, threshold)

@@ -251,6 +251,33 @@ def test_boilerplate_of_many_unlike_texts_is_no_class(spark):
     assert ((keys[i] == keys[j]).any(axis=1) & order_minhash.alike(signs[i], signs[j], n[i], n[j], 0.8)).mean() < 0.001
 
 
+def test_hot_runs_are_parted_by_rare_words_without_losing_a_link(spark, monkeypatch):
+    """2,000 pages of one template and some near copies: pairs left to compare grow with the pages, and no link is lost."""
+    monkeypatch.setattr(order_minhash, "HOT", 100)
+    monkeypatch.setattr(order_minhash, "BLOCK", 50)
+    rng = np.random.default_rng(31)
+    head = [f"h{k}" for k in range(60)]
+    texts = [[*head, *(f"u{i}x{k}" for k in range(40))] for i in range(1500)]
+    alike = []
+    for j in range(40):
+        i = int(rng.integers(0, 1500))
+        near = list(texts[i])
+        for k in rng.choice(100, int(rng.integers(1, 20)), replace=False).tolist():
+            near[k] = f"v{j}x{k}"
+        alike.append((i, len(texts)))
+        texts.append(near)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+    parted = order_minhash._parted
+    monkeypatch.setattr(order_minhash, "_parted", lambda *a: seen.append((a[0], parted(*a))) or seen[-1][1])
+    rows = {r.doc_id: r for r in order_minhash.classes(df).collect()}
+    pairs = lambda runs: runs.groupBy("key").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    assert pairs(seen[0][1]) < 0.02 * pairs(seen[0][0])
+    assert all(rows[i].class_id == rows[j].class_id for i, j in alike)
+    single = set(range(1500)) - {i for i, _ in alike}
+    assert all(rows[i].class_id == i and rows[i].n_links == 0 for i in single)
+
+
 NAMES = ["a.b", "__h", "__id", "__k1", "__i", "__c", "__x", "__left", "row", "id", "rep", "t1", "k1", "nth", "size", "tie"]
 
 
