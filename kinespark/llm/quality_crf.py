@@ -41,6 +41,7 @@ from .workspace import clear_of, named, packed, unpacked
 
 CONTENT_SHARE = 0.5
 TRAIN_DOCS, TRAIN_LINES, TRAIN_STEPS = 1000, 512, 160
+CHUNK_BYTES = 1 << 20  # of text at once: some hundred bytes of working memory each
 MIN_WORDS, MOST_REPEATED = 10, 20  # of 100 words
 
 FEATURES = ("bias", "symbols", "some_symbols", "bars", "upper", "exclaimed", "digits", "repeated", "equal_line", "short", "sentence", "few_kinds")
@@ -280,7 +281,7 @@ def _verdicts(theta: np.ndarray, share: float):
     pairs = theta[_N:].reshape(2, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in at.each_text(batches):
+        for batch, raw, offsets in at.each_text(batches, limit=CHUNK_BYTES):
             got = lines_of(raw, offsets)
             content = viterbi(got.features @ theta[:_N], got.rows, pairs)
             inside = np.diff(np.r_[0, np.cumsum(np.where(content, got.chars, 0))][got.rows])
@@ -307,7 +308,7 @@ def _passing(theta: np.ndarray, share: float):
     pairs = theta[_N:].reshape(2, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in at.each_text(batches):
+        for batch, raw, offsets in at.each_text(batches, limit=CHUNK_BYTES):
             got = lines_of(raw, offsets)
             content = viterbi(got.features @ theta[:_N], got.rows, pairs)
             inside = np.diff(np.r_[0, np.cumsum(np.where(content, got.chars, 0))][got.rows])
