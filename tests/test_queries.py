@@ -37,3 +37,10 @@ def test_entry_imports_without_a_session():
 
     assert set(C.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["segment_frames", "sampled_frames"])
+def test_frames_on_a_clock_take_one_scan_and_one_shuffle(spark, name):
+    plan = C.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
