@@ -28,7 +28,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from .workspace import clear_of, named

@@ -601,3 +601,9 @@ def test_broken_segments_are_retrieved():
         segment, window = x[:5], np.r_[x[1:5], x[5:10]]
         missed += not any((segment ^ c).min() == (window ^ c).min() for c in near)
     assert missed <= 2
+
+
+def test_texts_that_share_a_hash_get_numbers_of_their_own(spark):
+    rows = [(1, 10), (2, 20), (2, 21), (3, 10)]
+    got = {(r.t1, r.t2): r.rep for r in order_minhash._numbered(spark.createDataFrame(rows, "t1 long, t2 long")).collect()}
+    assert len(set(got.values())) == 4 and got[(1, 10)] == 1 and got[(3, 10)] == 3
