@@ -147,9 +147,9 @@ def inside(rows: np.ndarray, k: int) -> np.ndarray:
     return out[: total - k + 1]
 
 
-def each_text(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with the bytes and offsets of their text."""
+def each_text(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, of: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the bytes and offsets of their text, a column or, with ``of``, a field of that struct column."""
     for batch in batches:
-        raw, offsets = utf8(batch.column(column))
+        raw, offsets = utf8(batch.column(column) if of is None else batch.column(of).field(column))
         for i, j in chunks(offsets, limit):
             yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]

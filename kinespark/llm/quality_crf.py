@@ -304,16 +304,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).mapInArrow(_verdicts(theta, share), schema).withColumnRenamed("doc", id_col)
 
 
-def _passing(theta: np.ndarray, share: float):
+def _passing(theta: np.ndarray, share: float, text_col: str):
     pairs = theta[_N:].reshape(2, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in at.each_text(batches, limit=CHUNK_BYTES):
+        for batch, raw, offsets in at.each_text(batches, text_col, CHUNK_BYTES, of="row"):
             got = lines_of(raw, offsets)
             content = viterbi(got.features @ theta[:_N], got.rows, pairs)
             inside = np.diff(np.r_[0, np.cumsum(np.where(content, got.chars, 0))][got.rows])
             stay = (got.n_words >= MIN_WORDS) & (100 * got.n_repeat_words <= MOST_REPEATED * got.n_words) & (inside / np.maximum(1, got.word_chars) >= share)
-            yield batch.select(["row"]).filter(pa.array(stay))
+            yield batch.filter(pa.array(stay))
 
     return run
 
@@ -323,5 +323,5 @@ def passing(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     clear_of(docs, id_col, text_col)
     theta = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     rows = packed(docs)
-    kept = rows.select("row", F.col("row").getField(text_col).alias("text")).mapInArrow(_passing(theta, share), rows.schema)
+    kept = rows.mapInArrow(_passing(theta, share, text_col), rows.schema)
     return unpacked(kept, docs)
