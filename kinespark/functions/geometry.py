@@ -13,6 +13,7 @@ CENTRE = (960.0, 540.0)
 HAND_DIMS = 24
 WRIST_AND_TIPS = (0, 4, 8, 12, 16, 20)
 _ORDERS = np.array(list(permutations(range(5))))
+_BLOCK = 1024
 
 
 def hand_points(state: np.ndarray, side: int) -> np.ndarray:
@@ -54,12 +55,15 @@ def normalised(points: np.ndarray) -> np.ndarray:
 def tip_errors(truth: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """Errors (n, 6) of hands (n, 6, d): 0 for the wrist, then each true tip's distance to the guessed tip it is assigned.
 
-    The assignment is the one of least sum among all orders of five tips; of equal sums the first order counts.
+    The assignment is the one of least sum among all orders of five tips; of equal sums the first order counts. The sums
+    of ``_BLOCK`` hands are made at a time, as those of one take 5 kB.
     """
     g, m = normalised(truth), normalised(guess)
     apart = np.linalg.norm(g[:, 1:, None, :] - m[:, None, 1:, :], axis=-1)
-    sums = apart[:, np.arange(5)[None, :], _ORDERS].sum(axis=-1)
-    best = _ORDERS[sums.argmin(axis=1)]
+    best = np.zeros((len(apart), 5), dtype=int)
+    for i in range(0, len(apart), _BLOCK):
+        sums = apart[i : i + _BLOCK, np.arange(5)[None, :], _ORDERS].sum(axis=-1)
+        best[i : i + _BLOCK] = _ORDERS[sums.argmin(axis=1)]
     return np.concatenate([np.zeros((len(g), 1)), np.take_along_axis(apart, best[:, :, None], axis=2)[..., 0]], axis=1)
 
 

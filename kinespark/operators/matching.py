@@ -15,6 +15,8 @@ from ..functions import geometry as G
 from ..functions.columns import as_column
 from ..sources.schemas import MATCH
 
+ROWS = 512
+
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Row and column pairs of least total cost for at most two rows; of equal costs, the first in order."""
@@ -69,13 +71,15 @@ def match_hands(hands: Column | str, state: Column | str, extrinsics: Column | s
     A true hand counts if its wrist and fingertips all project in front of the camera. Hands are paired so that the sum
     of their mean errors is least; errors are in units of hand size, six per pair, in the order of the true tips, the
     wrist's being 0. Null hands are none, nor are those with fewer than 21 points or with wrist or tips that are no
-    numbers; a null or short state or camera, or a camera matrix without an inverse, has no true hand.
+    numbers; a null or short state or camera, or a camera matrix without an inverse, has no true hand. Rows are taken
+    apart ``ROWS`` at a time, whatever Arrow's batches are: as Python objects and arrays of all pairs one takes some 40 kB.
     """
     kind = to_arrow_type(MATCH)
 
     @F.arrow_udf(MATCH)
     def matched(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for h, s, e in batches:
-            yield pa.array(match_batch(h.to_pylist(), s.to_pylist(), e.to_pylist()), kind)
+        for columns in batches:
+            parts = [pa.array(match_batch(*(c.slice(i, ROWS).to_pylist() for c in columns)), kind) for i in range(0, len(columns[0]), ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return matched(as_column(hands), as_column(state), as_column(extrinsics))

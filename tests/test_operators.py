@@ -1,11 +1,14 @@
 import json
 import threading
+import tracemalloc
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinespark.functions import geometry as G
 from kinespark.functions.columns import file_uri, finite, last, list_join, named, stem
@@ -301,6 +304,40 @@ def test_matching_is_one_python_node(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_matching_does_not_follow_the_batch(monkeypatch):
+    kernels = []
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: kernels.append(f) or (lambda *columns: None))
+    match_hands(None, None, None)
+    rng = np.random.default_rng(7)
+    rows = [truth_row(rng, behind=i % 7 == 0) for i in range(50)]
+    rows[3], rows[4] = (None, *rows[3][1:]), (*rows[4][:2], None)
+    states, cameras, hands = (list(x) * 80 for x in zip(*rows, strict=True))
+    numbers = pa.list_(pa.float64())
+    columns = pa.array(hands, to_arrow_type(S.HANDS)), pa.array(states, numbers), pa.array(cameras, numbers)
+    run = lambda n: next(kernels[0](iter([tuple(c.slice(1, n) for c in columns)])))
+    run(10)
+    (_, few), (got, many) = peak_mb(lambda: run(700)), peak_mb(lambda: run(3500))
+    assert many < 1.5 * few, (few, many)
+    assert got.to_pylist() == match_batch(*(c.slice(1, 3500).to_pylist() for c in columns))
+    assert len(run(0)) == 0
+
+
+def test_memory_of_tip_errors_is_that_of_a_block():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 5000, 6, 2))
+    got, mb = peak_mb(lambda: G.tip_errors(a, b))
+    assert mb < 20
+    assert np.array_equal(got, np.concatenate([G.tip_errors(a[i : i + 1], b[i : i + 1]) for i in range(len(a))])) and G.tip_errors(a[:0], b[:0]).shape == (0, 6)
+
+
 def test_the_report_scores_each_row_once(spark):
     df = spark.createDataFrame([], f"label string, hands {S.HANDS.simpleString()}, state array<double>, extrinsics array<double>")
     scored = df.select("label", match_hands("hands", "state", "extrinsics").alias("score"))
